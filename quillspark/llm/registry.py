@@ -4,10 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table
+from quillspark.llm.common import table, write_shared
+from quillspark.llm.mixing import mix, sized
+from quillspark.llm.sharding import measured, reshard
 from quillspark.llm.token_counts import token_counts
 
 
+def op3_mix_sources(spark, sf_dir):
+    """Words that a mix by source weights takes of every document, and when each copy is due."""
+    docs = sized(table(spark, sf_dir, "documents")).select("doc_id", "source", "_size", "_hash")
+    mixed = mix(write_shared(docs, "op3"), is_sized=True)
+    out = mixed.select(
+        "doc_id",
+        F.col("_size").alias("size"),
+        F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"),
+        F.col("_taken").alias("taken"),
+        F.col("_positions").alias("positions"),
+    )
+    first = F.coalesce(F.element_at("positions", 1), F.lit(1.0))
+    return out.withColumn("_due", first).repartitionByRange("_due").sortWithinPartitions("_due", "doc_id").drop("_due")
+
+
 def op8_token_counts(spark, sf_dir):
     """Tokens of every document; over_limit: more than 512."""
     import public_tokenizers
@@ -16,5 +34,25 @@ def op8_token_counts(spark, sf_dir):
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
-QUERIES = {"op8_token_counts": op8_token_counts}
+def op10_reshard(spark, sf_dir):
+    """Documents from 7 hash shards into 8 of equal bytes, moving as few bytes as can be."""
+    docs = measured(table(spark, sf_dir, "documents")).withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
+    docs = write_shared(docs.select("doc_id", "_size", "_hash", "text_crc32"), "op10")
+    placed, _ = reshard(docs, 8, n_old=7, is_measured=True)
+    return placed.select(
+        "doc_id",
+        F.col("_size").alias("size"),
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+QUERIES = {
+    "op3_mix_sources": op3_mix_sources,
+    "op8_token_counts": op8_token_counts,
+    "op10_reshard": op10_reshard,
+}
 ORACLE_SQL: dict[str, str] = {}
