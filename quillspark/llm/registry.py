@@ -8,6 +8,25 @@ from quillspark.llm.common import table, write_shared
 from quillspark.llm.mixing import mix, sized
 from quillspark.llm.sharding import measured, reshard
 from quillspark.llm.token_counts import token_counts
+from quillspark.llm.toxicity import fit, score
+
+
+def fit_toxicity(docs, labels):
+    """A model of labels.toxic that learns nothing from held-out rows."""
+    return fit(docs, labels.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+
+
+def op2_toxicity(spark, sf_dir):
+    """Toxicity of every document; predicted: 0.7 or more."""
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= 0.7).cast("int").alias("predicted"),
+        F.size("_passages").alias("n_passages"),
+    )
 
 
 def op3_mix_sources(spark, sf_dir):
@@ -51,6 +70,7 @@ def op10_reshard(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_mix_sources": op3_mix_sources,
     "op8_token_counts": op8_token_counts,
     "op10_reshard": op10_reshard,
