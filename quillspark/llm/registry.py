@@ -41,7 +41,7 @@ def op3_mix_sources(spark, sf_dir):
         F.col("_taken").alias("taken"),
         F.col("_positions").alias("positions"),
     )
-    first = F.coalesce(F.element_at("positions", 1), F.lit(1.0))
+    first = F.coalesce(F.get("positions", F.lit(0)), F.lit(1.0))
     return out.withColumn("_due", first).repartitionByRange("_due").sortWithinPartitions("_due", "doc_id").drop("_due")
 
 
