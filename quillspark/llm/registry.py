@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import table, write_shared
 from quillspark.llm.mixing import mix, sized
+from quillspark.llm.pii import KINDS, find_pii, joined
+from quillspark.llm.secrets import find_secrets
 from quillspark.llm.sharding import measured, reshard
 from quillspark.llm.token_counts import token_counts
 from quillspark.llm.toxicity import fit, score
@@ -45,6 +47,12 @@ def op3_mix_sources(spark, sf_dir):
     return out.withColumn("_due", first).repartitionByRange("_due").sortWithinPartitions("_due", "doc_id").drop("_due")
 
 
+def op4_secrets(spark, sf_dir):
+    """Every candidate credential of every document, and whether the forest lets it pass."""
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "kind", "start", "end", F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret")
+
+
 def op8_token_counts(spark, sf_dir):
     """Tokens of every document; over_limit: more than 512."""
     import public_tokenizers
@@ -53,6 +61,18 @@ def op8_token_counts(spark, sf_dir):
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op9_pii(spark, sf_dir):
+    """Personal data in every document: base findings by kind, and all spans."""
+    found = find_pii(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in KINDS[:4]],
+        F.sha2(joined(F.col("_base")), 256).alias("base_sha256"),
+        joined(F.col("_spans")).alias("spans"),
+    )
+
+
 def op10_reshard(spark, sf_dir):
     """Documents from 7 hash shards into 8 of equal bytes, moving as few bytes as can be."""
     docs = measured(table(spark, sf_dir, "documents")).withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
@@ -72,7 +92,9 @@ def op10_reshard(spark, sf_dir):
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_mix_sources": op3_mix_sources,
+    "op4_secrets": op4_secrets,
     "op8_token_counts": op8_token_counts,
+    "op9_pii": op9_pii,
     "op10_reshard": op10_reshard,
 }
 ORACLE_SQL: dict[str, str] = {}
