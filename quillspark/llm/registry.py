@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import table, write_shared
+from quillspark.llm.decontamination import contamination
 from quillspark.llm.mixing import mix, sized
 from quillspark.llm.pii import KINDS, find_pii, joined
 from quillspark.llm.secrets import find_secrets
@@ -13,6 +14,19 @@ from quillspark.llm.token_counts import token_counts
 from quillspark.llm.toxicity import fit, score
 
 
+def op1_decontamination(spark, sf_dir):
+    """Words of every document that lie in eight-word windows of benchmark items."""
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("items") >= 2).alias("contaminated"),
+    )
+
+
 def fit_toxicity(docs, labels):
     """A model of labels.toxic that learns nothing from held-out rows."""
     return fit(docs, labels.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
@@ -90,6 +104,7 @@ def op10_reshard(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
     "op3_mix_sources": op3_mix_sources,
     "op4_secrets": op4_secrets,
@@ -97,4 +112,29 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_reshard": op10_reshard,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_decontamination": r"""
+with d as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+b as (
+  select item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark),
+bw as (
+  select distinct item_id, least(len(w), 8) as n, array_to_string(w[i : i + 7], ' ') as s
+  from b, unnest(range(1, greatest(len(w) - 7, 1) + 1)) as u(i) where len(w) > 0),
+sizes as (select distinct n from bw),
+dw as (
+  select r, i, n, array_to_string(w[i : i + n - 1], ' ') as s
+  from d, sizes, unnest(range(1, len(w) - n + 2)) as u(i)),
+m as (select r, i, dw.n, item_id from dw join bw on dw.s = bw.s and dw.n = bw.n),
+h as (select r, count(distinct p) as n_hit from m, unnest(range(i, i + n)) as u(p) group by r),
+t as (select r, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from m group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+       cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+       coalesce(n_items, 0) >= 2 as contaminated
+from d left join h using (r) left join t using (r)
+""",
+}
