@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import table, write_shared
 from quillspark.llm.decontamination import contamination
+from quillspark.llm.jaccard_join import near_duplicates
 from quillspark.llm.mixing import mix, sized
 from quillspark.llm.pii import KINDS, find_pii, joined
 from quillspark.llm.secrets import find_secrets
@@ -58,7 +59,7 @@ def op3_mix_sources(spark, sf_dir):
         F.col("_positions").alias("positions"),
     )
     first = F.coalesce(F.get("positions", F.lit(0)), F.lit(1.0))
-    return out.withColumn("_due", first).repartitionByRange("_due").sortWithinPartitions("_due", "doc_id").drop("_due")
+    return out.withColumn("_due", first).repartitionByRange("_due", "doc_id").sortWithinPartitions("_due", "doc_id").drop("_due")
 
 
 def op4_secrets(spark, sf_dir):
@@ -67,6 +68,11 @@ def op4_secrets(spark, sf_dir):
     return found.select("doc_id", "kind", "start", "end", F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret")
 
 
+def op7_jaccard_join(spark, sf_dir):
+    """Components of documents that share 85 % of their four-word runs."""
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op8_token_counts(spark, sf_dir):
     """Tokens of every document; over_limit: more than 512."""
     import public_tokenizers
@@ -108,6 +114,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_mix_sources": op3_mix_sources,
     "op4_secrets": op4_secrets,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_reshard": op10_reshard,
