@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import table, write_shared
 from quillspark.llm.decontamination import contamination
 from quillspark.llm.jaccard_join import near_duplicates
+from quillspark.llm.line_dedup import dedup_lines
 from quillspark.llm.mixing import mix, sized
 from quillspark.llm.pii import KINDS, find_pii, joined
 from quillspark.llm.secrets import find_secrets
@@ -68,6 +69,12 @@ def op4_secrets(spark, sf_dir):
     return found.select("doc_id", "kind", "start", "end", F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret")
 
 
+def op5_line_dedup(spark, sf_dir):
+    """Lines of every document that lie in repeated three-line windows, and what is left."""
+    docs = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
 def op7_jaccard_join(spark, sf_dir):
     """Components of documents that share 85 % of their four-word runs."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
@@ -114,6 +121,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_mix_sources": op3_mix_sources,
     "op4_secrets": op4_secrets,
+    "op5_line_dedup": op5_line_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
@@ -143,5 +151,20 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as big
        cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256,
        coalesce(n_items, 0) >= 2 as contaminated
 from d left join h using (r) left join t using (r)
+""",
+    "op5_line_dedup": r"""
+with d as (select row_number() over () as r, doc_id, text, string_split(text, chr(10)) as lines from documents),
+one as (select min(r) as r, doc_id, text, any_value(lines) as lines from d where text is not null group by doc_id, text),
+w as (
+  select r, doc_id, i, least(len(lines), 3) as n, lines[i : i + 2] as s
+  from one, unnest(range(1, greatest(len(lines) - 2, 1) + 1)) as u(i)
+  where regexp_matches(array_to_string(lines[i : i + 2], ''), '\S')),
+o as (select *, row_number() over (partition by s order by doc_id, i) as k from w),
+gone as (select distinct r, p from o, unnest(range(i, i + n)) as v(p) where k > 1),
+g as (select doc_id, text, list(p) as ps from gone join one using (r) group by doc_id, text)
+select d.doc_id, cast(coalesce(len(lines), 0) as bigint) as n_lines, cast(coalesce(len(ps), 0) as bigint) as n_removed,
+       md5(coalesce(case when ps is null then d.text
+         else array_to_string(list_transform(list_filter(range(1, len(lines) + 1), x -> not list_contains(ps, x)), x -> lines[x]), chr(10)) end, '')) as kept_md5
+from d left join g on d.doc_id = g.doc_id and d.text = g.text
 """,
 }

@@ -291,13 +291,14 @@ def score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", keep
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = list(keep)
+    text_name = f"_c{names.index(text_col)}" if text_col in names else "_text"
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(held.value)
         for batch in batches:
             scores, passages = [], []
-            for text in batch["_text"]:
-                n, found = scorer.segments(text)
+            for text in batch[text_name]:
+                n, found = scorer.segments(text or "")
                 evidence, kept = scorer.evidence(n, found)
                 scores.append(held.value.probability(math.log1p(evidence)))
                 passages.append([{"start": a, "end": b, "score": s, "p": p} for a, b, s, p in kept])
@@ -307,5 +308,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", keep
 
     columns = [F.col(c).alias(f"_c{i}") for i, c in enumerate(names)]
     schema = ", ".join([*(f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)), "_score double", "_passages array<struct<start: int, end: int, score: double, p: double>>"])
-    out = docs.select(*columns, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInPandas(scored, schema)
+    if text_name == "_text":
+        columns.append(F.col(text_col).alias("_text"))
+    out = docs.select(*columns).mapInPandas(scored, schema)
     return out.withColumnsRenamed({f"_c{i}": c for i, c in enumerate(names)})
