@@ -4,10 +4,10 @@ The global order of n-grams (by 64-bit hash) is cut into fragments.  Two sets of
 Jaccard similarity t or more differ in at most d = (1 - t) / (1 + t) (|A| + |B|)
 n-grams, so with more than d fragments they agree on one; a document emits a
 signature for each of its fragments, and documents of a signature form a block.
-Within a block documents are compared with a leader, not with each other; only
-where a block then still spans several components are its other pairs compared.
-Comparing counts the partial overlap of each vertical fragment by itself and
-sums the counts per pair.
+Within a block documents are compared with a leader, not with each other; of the
+other pairs only those are compared that aren't in one component yet and whose
+differences from the leader leave a link possible.  Comparing counts the partial
+overlap of each vertical fragment by itself and sums the counts per pair.
 
 Documents with equal sets form one class, which takes part once.
 """
@@ -27,8 +27,6 @@ from quillspark.llm.common import drop_shared, write_shared
 PARTS = 8
 #: Buckets of the bitmap that keeps classes without candidates from being read again; its size is fixed.
 BITMAP = 1 << 20
-#: Rounds of comparing a block with one leader before all its open pairs are compared.
-STAR_ROUNDS = 2
 NO_SIGNATURES = np.empty(0, np.int64)
 
 
@@ -224,41 +222,63 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.unionAll(now.select(F.col("v").alias("c"), F.col("v").alias("label")).distinct())
 
 
+def open_pairs(members: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """(a, na, b, nb): the pairs of a leader's members that may link and aren't in one component.
+
+    members: (lead, x, n, e, m, label, at_lead) with e = n-grams that x has and
+    the leader lacks, m = those that it lacks.  A and B differ in
+    |Ea ^ Eb| + |Ma ^ Mb| n-grams, which must be d at most; so they share at least
+    (ea + eb + |ma - mb| - d) / 2 of what they have beyond the leader.  Pairs for
+    which that isn't positive are found by the numbers alone, the others by what
+    they share.  Members linked with the leader are in one component, so one of
+    a pair is an outer member; n-grams of the same members count as one.
+    """
+    outer = members.filter(~F.col("at_lead"))
+    members = members.join(outer.select("lead").distinct(), "lead", "left_semi")
+    ours = outer.select("lead", F.col("x").alias("a"), F.col("n").alias("na"), F.col("e").alias("ea"), F.col("m").alias("ma"), F.col("label").alias("la"))
+    others = members.select("lead", F.col("x").alias("b"), F.col("n").alias("nb"), F.col("e").alias("eb"), F.col("m").alias("mb"), F.col("label").alias("lb"))
+    d = (100 - percent) * (F.col("na") + F.col("nb")) / (100 + percent)
+    need = F.col("ea") + F.col("eb") + F.abs(F.col("ma") - F.col("mb")) - d
+    columns = ["a", "na", "b", "nb"]
+    profiles = others.select("lead", "nb", "eb", "mb").distinct()
+    by_number = ours.join(profiles, "lead").filter(need <= 0).join(others, ["lead", "nb", "eb", "mb"]).filter("la != lb").select(*columns)
+    own = members.select("lead", "x").join(grams.select(F.col("c").alias("x"), "part", "grams"), "x")
+    theirs = grams.select(F.col("c").alias("lead"), "part", F.col("grams").alias("led"))
+    extra = own.join(theirs, ["lead", "part"], "left").select("lead", "x", F.explode(F.array_except("grams", F.coalesce("led", F.array().cast("array<long>")))).alias("gram"))
+    extra = write_shared(extra, "extra")
+    alike = extra.groupBy("lead", "gram").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("of")).filter("k > 1")
+    alike = alike.withColumn("of", F.xxhash64("of", "k"))
+    sets = extra.join(alike.select("lead", "gram", "of"), ["lead", "gram"]).groupBy("lead", "of", "x").agg(F.count(F.lit(1)).alias("w"))
+    sets = write_shared(sets, "shared")
+    left = sets.join(ours.select("lead", F.col("a").alias("x")), ["lead", "x"], "left_semi").select("lead", "of", F.col("x").alias("a"), "w")
+    met = left.join(sets.select("lead", "of", F.col("x").alias("b")), ["lead", "of"]).filter("a != b")
+    met = met.groupBy("lead", "a", "b").agg(F.sum("w").alias("shared"))
+    by_share = met.join(ours, ["lead", "a"]).join(others, ["lead", "b"]).filter((need <= 2 * F.col("shared")) & (F.col("la") != F.col("lb"))).select(*columns)
+    pairs = by_number.unionAll(by_share).filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    low = F.col("a") < F.col("b")
+    return pairs.select(F.least("a", "b").alias("a"), F.when(low, F.col("na")).otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"), F.when(low, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+
+
 def links(docs: DataFrame, *, size: int = 4, percent: int = 85, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between classes whose components are those of all links, and (c, label) of linked classes."""
-    spark = docs.sparkSession
     held = write_shared(blocks(docs, size, percent, text_col), "blocks")
-    sized = held.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
-    central = held.join(sized, "block").groupBy("c").agg(F.sum("m").alias("central"))
+    sized = held.groupBy("block").agg(F.count(F.lit(1)).alias("members"))
+    central = held.join(sized, "block").groupBy("c").agg(F.sum("members").alias("central"))
     held = write_shared(held.join(central, "c"), "members")
     grams = write_shared(fragments(docs, held, size, text_col), "fragments")
-    similar = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    found = spark.createDataFrame([], "a long, b long, common long, na long, nb long, linked boolean")
-    labels = None
-    for turn in range(STAR_ROUNDS + 1):
-        named = held if labels is None else held.join(labels, "c", "left")
-        named = named.withColumn("label", F.col("c") if labels is None else F.coalesce("label", "c"))
-        if turn:  # blocks within one component are done
-            open_ = named.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("block")
-            named = named.join(open_, "block", "left_semi")
-        if turn < STAR_ROUNDS:
-            # the first time the most central class leads; then the most central one outside its component
-            lead = named.groupBy("block").agg(F.max(F.struct("central", "n", F.col("c").alias("a"), F.col("label").alias("la"))).alias("l")).select("block", "l.*")
-            if turn:
-                other = named.join(lead.select("block", "la"), "block").filter("label != la").drop("la")
-                lead = other.groupBy("block").agg(F.max(F.struct("central", "n", F.col("c").alias("a"), F.col("label").alias("la"))).alias("l")).select("block", "l.*")
-            pairs = named.join(lead.select("block", "a", F.col("n").alias("na"), "la"), "block").filter("label != la")
-            pairs = pairs.select("a", "na", F.col("c").alias("b"), F.col("n").alias("nb"))
-        else:
-            one = named.select("block", F.col("c").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            two = named.select("block", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            pairs = one.join(two, "block").filter("la != lb AND a < b").select("a", "na", "b", "nb")
-        pairs = pairs.filter(similar & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
-        pairs = pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")
-        tested = write_shared(overlaps(write_shared(pairs, "pairs"), grams, percent), "tested")
-        found = found.unionByName(tested)
-        labels = write_shared(components(found.filter("linked")), "labels")
-    return found.filter("linked").select("a", "b"), labels
+    lead = held.groupBy("block").agg(F.max(F.struct("central", "n", F.col("c").alias("a"))).alias("l")).select("block", F.col("l.a").alias("a"), F.col("l.n").alias("na"))
+    stars = held.join(lead, "block").filter("a != c").select("a", "na", F.col("c").alias("b"), F.col("n").alias("nb")).distinct()
+    tested = write_shared(overlaps(write_shared(stars, "pairs"), grams, percent), "tested")
+    near = write_shared(components(tested.filter("linked")), "labels")
+    label = lambda df, c, out: df.join(near.select(F.col("c").alias(c), F.col("label").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
+    members = tested.select(F.col("a").alias("lead"), F.col("b").alias("x"), F.col("nb").alias("n"), (F.col("nb") - F.col("common")).alias("e"), (F.col("na") - F.col("common")).alias("m"))
+    itself = tested.select(F.col("a").alias("lead"), F.col("a").alias("x"), F.col("na").alias("n"), F.lit(0).cast("long").alias("e"), F.lit(0).cast("long").alias("m")).distinct()
+    members = label(label(members.unionAll(itself), "x", "label"), "lead", "llead").withColumn("at_lead", F.col("label") == F.col("llead")).drop("llead")
+    members = write_shared(members, "stars")
+    rest = write_shared(open_pairs(members, grams, percent), "pairs")
+    found = tested.select("a", "b", "linked").unionAll(overlaps(rest, grams, percent).select("a", "b", "linked")).filter("linked").select("a", "b")
+    found = write_shared(found, "links")
+    return found, write_shared(components(found), "labels")
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
