@@ -1,4 +1,301 @@
 """Queries by name, and the SQL that states the same result."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillspark.functions import text as T
+from quillspark.functions.cleanup import postprocess
+from quillspark.functions.grammar import accepted, program_blocks
+from quillspark.functions.similarity import SLOTS, token_f1
+from quillspark.functions.slots import program_slots, spoken_slots
+from quillspark.operators import joins, prompting, retrieval
+from quillspark.operators.report import align, compare, evaluate, program_alignment, summarize, worst
+from quillspark.operators.selection import by_rule, select_candidates, sequence_logprobs
+from quillspark.plans.derived import candidates, programs, table, text_pairs
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+    return add
+
+
+r6 = lambda c: F.round(c, 6)
+
+PAIRS = """pairs as (
+  select conv_id, turn, t2 as pred, text as gold from (
+    select *, lead(role) over w as r2, lead(text) over w as t2 from conversations window w as (partition by conv_id order by turn))
+  where role = 'user' and r2 = 'assistant')"""
+F1 = r"""f as (
+  select conv_id, turn,
+         list_filter(regexp_split_to_array(pred, '\s+'), lambda x: x <> '') as p,
+         list_filter(regexp_split_to_array(gold, '\s+'), lambda x: x <> '') as g from pairs),
+s as (select *, coalesce(list_sum(list_transform(list_distinct(list_intersect(p, g)), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(g, lambda x: x = w))))), 0) as n from f),
+scored as (select conv_id, turn, case when len(p) = 0 and len(g) = 0 then 1.0 when n = 0 then 0.0 else 2 * (n / len(p)) * (n / len(g)) / (n / len(p) + n / len(g)) end as f1 from s)"""
+
+
+@query(f"with {PAIRS}, {F1} select conv_id, turn, round(f1, 6) as f1 from scored")
+def token_f1_pairs(spark, d):
+    return text_pairs(spark, d).select("conv_id", "turn", r6(token_f1(F.col("pred"), F.col("gold"))).alias("f1"))
+
+
+@query(f"with {PAIRS}, {F1}, e as (select count(*) as n, avg(case when regexp_replace(pred, '\\s+', ' ', 'g') = regexp_replace(gold, '\\s+', ' ', 'g') then 1.0 else 0.0 end) as exact from pairs) select cast(n as bigint) as examples, round(exact, 6) as exact_match, (select round(avg(f1), 6) from scored) as mean_f1 from e")
+def exact_match_summary(spark, d):
+    rows = text_pairs(spark, d).withColumns({"f1": token_f1(F.col("pred"), F.col("gold")), "exact": T.squeeze(F.col("pred")) == T.squeeze(F.col("gold"))})
+    return rows.agg(F.count(F.lit(1)).alias("examples"), r6(F.avg(F.col("exact").cast("double"))).alias("exact_match"), r6(F.avg("f1")).alias("mean_f1"))
+
+
+@query("select p_partkey, replace(regexp_replace(lower(trim(p_name || ' v ')), '\\s+', ' ', 'g'), ' v', '') as name from part")
+def normalize_names(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.normalize_name(F.concat("p_name", F.lit(" v "))).alias("name"))
+
+
+@query("select cast(l_discount as varchar) as raw, regexp_replace(printf('%.6f', l_discount), '\\.?0+$', '') as canonical, count(*) as n from lineitem group by 1, 2")
+def normalize_numbers(spark, d):
+    raw = F.col("l_discount").cast("string")
+    return table(spark, d, "lineitem").groupBy(raw.alias("raw")).agg(F.count(F.lit(1)).alias("n")).select("raw", T.normalize_number(F.col("raw")).alias("canonical"), "n")
+
+
+def _spelled(n):
+    tens, units = F.array(*map(F.lit, T.TENS)), F.array(*map(F.lit, T.UNITS))
+    high = F.get(tens, (F.floor(n / 10) - 2).cast("int"))
+    return F.when(n < 20, F.get(units, n)).when(n % 10 == 0, high).otherwise(F.concat(high, F.lit(" "), F.get(units, (n % 10).cast("int"))))
+
+
+@query("select p_partkey, cast(p_size as varchar) || case when p_partkey % 3 = 0 then ',' || cast(100 * p_size as varchar) else '' end as found from part")
+def number_words(spark, d):
+    size = _spelled(F.col("p_size"))
+    said = F.concat(F.lit("move "), size, F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" then wait "), F.when(F.col("p_size") == 1, "a").otherwise(size), F.lit(" hundred"))).otherwise(""))
+    # twenty three hundred is (20 + 3) * 100
+    return table(spark, d, "part").select("p_partkey", F.array_join(T.number_words(said), ",").alias("found"))
+
+
+@query("select p_partkey, (case when p_partkey % 2 = 0 then '-' else '' end) || cast(p_size as varchar) as found from part")
+def directional_numbers(spark, d):
+    way = F.when(F.col("p_partkey") % 2 == 0, "move left by ").otherwise("go up ")
+    said = F.concat(way, F.col("p_size").cast("string"), F.lit(" steps"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(T.directional_numbers(said), ",").alias("found"))
+
+
+PROGRAMS = """li as (
+  select l_orderkey, l_partkey, cast(l_quantity as bigint) as q, l_returnflag || ',' || l_linestatus as f, 
+         row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as n from lineitem),
+p as (
+  select l_orderkey as program_id, o_orderpriority as pr, cast(o_custkey % 5 as varchar) as m, f, q, l_partkey, n,
+         case f when 'A,F' then 'move (' || q || ') steps' when 'A,O' then 'repeat (' || q || ')' when 'N,F' then 'wait (' || q || ') seconds'
+                when 'N,O' then 'say [p' || l_partkey || ']' when 'R,F' then 'change [score v] by (' || q || ')' when 'R,O' then 'end' end as block
+  from li join orders on l_orderkey = o_orderkey)"""
+DEPTH = PROGRAMS + """,
+d as (select *, sum(case f when 'A,O' then 1 when 'R,O' then -1 else 0 end) over (partition by program_id order by n) as depth from p),
+ok as (select program_id, pr, min(depth) >= 0 and pr <> '5-LOW' as parse_ok from d group by program_id, pr)"""
+
+
+@query(f"with {DEPTH} select program_id, parse_ok from ok")
+def program_accepts(spark, d):
+    own = programs(spark, d).withColumn("code", F.array_join("lines", "\n"))
+    return accepted(own, "code").select("program_id", "parse_ok")
+
+
+@query(f"with {DEPTH} select pr is not null as rated, count(*) as examples, round(avg(case when parse_ok then 1.0 else 0.0 end), 6) as parse_rate from ok group by 1")
+def parse_rate(spark, d):
+    own = accepted(programs(spark, d).withColumn("code", F.array_join("lines", "\n")), "code")
+    return own.groupBy(F.lit(True).alias("rated")).agg(F.count(F.lit(1)).alias("examples"), r6(F.avg(F.col("parse_ok").cast("double"))).alias("parse_rate"))
+
+
+@query(f"""with {PROGRAMS} select case f when 'A,F' then 'motion_movesteps' when 'A,O' then 'control_repeat' when 'N,F' then 'control_wait' when 'N,O' then 'looks_say' when 'R,F' then 'data_changevariableby' end as opcode, count(*) as n
+from p where f <> 'R,O' group by 1""")
+def program_block_counts(spark, d):
+    own = program_blocks(programs(spark, d).withColumn("code", F.array_join("lines", "\n")), "program_id", "code")
+    return own.filter(~F.startswith("opcode", F.lit("event_when"))).groupBy("opcode").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with {PROGRAMS} select program_id,
+  case pr when '1-URGENT' then 'green_flag' when '2-HIGH' then 'sprite_clicked' when '3-MEDIUM' then 'key_pressed' when '4-NOT SPECIFIED' then 'backdrop_switch' else 'receive' end as event_type,
+  case pr when '3-MEDIUM' then 'space' when '4-NOT SPECIFIED' then 'b' || m when '5-LOW' then 'msg' || m end as event_target,
+  coalesce(string_agg(distinct case f when 'A,F' then 'move' when 'N,F' then 'wait' when 'N,O' then 'say' when 'R,F' then 'change_variable' end, ',' order by case f when 'A,F' then 'move' when 'N,F' then 'wait' when 'N,O' then 'say' when 'R,F' then 'change_variable' end), '') as action_types,
+  coalesce(string_agg(distinct case f when 'A,O' then cast(q as varchar) end, ',' order by case f when 'A,O' then cast(q as varchar) end), '') as loop_counts,
+  coalesce(max(case f when 'R,F' then 'score' end), '') as variable_names
+from p group by program_id, pr, m""")
+def pseudocode_slots(spark, d):
+    own = programs(spark, d).select("program_id", program_slots(F.col("lines")).alias("s"))
+    joined = {s: F.array_join(F.col(f"s.{s}"), ",") for s in ("action_types", "loop_counts", "variable_names")}
+    return own.select("program_id", "s.event_type", "s.event_target", *[c.alias(s) for s, c in joined.items()])
+
+
+@query(f"""with {PROGRAMS} select program_id,
+  case pr when '1-URGENT' then 'green_flag' when '2-HIGH' then 'sprite_clicked' when '3-MEDIUM' then 'key_pressed' when '4-NOT SPECIFIED' then 'backdrop_switch' else 'receive' end as event_type,
+  case pr when '3-MEDIUM' then 'space' when '4-NOT SPECIFIED' then 'b' || m when '5-LOW' then 'msg' || m end as event_target,
+  coalesce(string_agg(distinct case when l_partkey % 4 <> 0 and f = 'A,O' then cast(q as varchar) end, ',' order by case when l_partkey % 4 <> 0 and f = 'A,O' then cast(q as varchar) end), '') as loop_counts,
+  coalesce(max(case when l_partkey % 4 <> 0 and f = 'R,F' then 'score' end), '') as variable_names
+from p group by program_id, pr, m""")
+def nl_slots(spark, d):
+    own = programs(spark, d).select("program_id", spoken_slots(F.col("nl")).alias("s"))
+    return own.select("program_id", "s.event_type", "s.event_target", F.array_join("s.loop_counts", ",").alias("loop_counts"), F.array_join("s.variable_names", ",").alias("variable_names"))
+
+
+def _aligned(spark, d):
+    return align(programs(spark, d).withColumnRenamed("lines", "pseudocode"))
+
+
+@query()
+def sac_nl(spark, d):
+    return _aligned(spark, d).select("program_id", r6("alignment_score").alias("alignment_score"), "exact_alignment", "high_confidence_alignment", F.array_join("mismatch_slots", ",").alias("mismatch_slots"))
+
+
+@query()
+def sac_summary(spark, d):
+    own = _aligned(spark, d).withColumn("event", F.col("pseudo_slots.event_type"))
+    return summarize(own, "event").withColumn("value", r6("value"))
+
+
+@query()
+def sac_bottom_k(spark, d):
+    return worst(_aligned(spark, d), 250, "program_id").select("program_id", r6("alignment_score").alias("alignment_score"))
+
+
+@query(f"""with {PROGRAMS}, a as (select distinct program_id, pr, case f when 'A,F' then 'm' when 'N,F' then 'w' when 'N,O' then 's' when 'R,F' then 'c' end as act from p),
+h as (select program_id, count(act) > 0 as any_action from a group by program_id)
+select program_id, 1.0::double as self_alignment from h""")
+def sac_pseudo_self(spark, d):
+    code = F.array_join("lines", "\n")
+    return programs(spark, d).select("program_id", program_alignment(code, code).alias("self_alignment"))
+
+
+@query()
+def postprocess_programs(spark, d):
+    own = programs(spark, d).withColumn("code", postprocess(F.array_join("lines", "\n")))
+    return accepted(own, "code").groupBy("parse_ok").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("code")).alias("chars"))
+
+
+@query()
+def evaluate_programs(spark, d):
+    own = programs(spark, d).select(F.array_join("lines", "\n").alias("gold"), F.array_join(F.slice("lines", F.lit(1), F.greatest(F.lit(1), F.size("lines") - 1)), "\n").alias("prediction"), "nl")
+    m = evaluate(compare(own, clean=True))
+    return m.select("examples", *[r6(c).alias(c) for c in m.columns if c != "examples"])
+
+
+TOKENS = r"unnest(regexp_extract_all(lower(text), '[a-z0-9_]+'))"
+
+
+@query(f"""with t as (select doc_id, {TOKENS} as token from documents), n as (select greatest(1, count(*)) as n from documents)
+select token, count(distinct doc_id) as df, round(ln((1 + (select n from n)) / (1 + count(distinct doc_id))) + 1, 6) as idf from t group by token""")
+def tfidf_idf(spark, d):
+    idf = retrieval.inverse_document_frequency(table(spark, d, "documents"), "doc_id", "text")
+    return idf.select("token", "df", r6("idf").alias("idf"))
+
+
+@query(f"""with t as (select doc_id, {TOKENS} as token from documents), n as (select greatest(1, count(*)) as n from documents),
+idf as (select token, ln((1 + (select n from n)) / (1 + count(distinct doc_id))) + 1 as idf from t group by token),
+w as (select doc_id, token, count(*) * any_value(idf) as w from t join idf using (token) group by doc_id, token),
+v as (select doc_id, token, w / sqrt(sum(w * w) over (partition by doc_id)) as w from w),
+qt as (select item_id, {TOKENS} as token from benchmark),
+qw as (select item_id, token, count(*) * any_value(idf) as w from qt join idf using (token) group by item_id, token),
+qv as (select item_id, token, w / sqrt(sum(w * w) over (partition by item_id)) as w from qw),
+s as (select item_id, doc_id, round(sum(qv.w * v.w), 12) as score from qv join v using (token) group by item_id, doc_id),
+a as (select q.item_id, d.doc_id, coalesce(s.score, 0) as score from (select distinct item_id from qv) q cross join documents d left join s on s.item_id = q.item_id and s.doc_id = d.doc_id),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id desc) as rank from a)
+select item_id, cast(rank as int) as rank, doc_id, round(score, 6) as score from r where rank <= 5""")
+def tfidf_topk(spark, d):
+    top = retrieval.top_k(table(spark, d, "benchmark"), table(spark, d, "documents"), 5, query_id="item_id", query_text="text", doc_id="doc_id", doc_text="text")
+    return top.select(F.col("query").alias("item_id"), "rank", F.col("doc").alias("doc_id"), r6("score").alias("score"))
+
+
+@query()
+def fewshot_prompts(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("nl"), F.col("lang").alias("pseudocode"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("item_id").alias("order"), F.col("text").alias("nl"))
+    top = retrieval.top_k(asked, docs, 2, query_id="query", query_text="nl", doc_id="doc_id", doc_text="nl")
+    shown = retrieval.examples_of(top, docs, "doc_id", ["nl", "pseudocode"])
+    rows = prompting.requests(asked, shown, prefix="nl2program-", url="/v1/chat/completions", model="gpt-5-mini", task="Task: write a program.", syntax="One block a line.", ask="Now the program of this description:")
+    return rows.select("custom_id", "method", F.length("body").alias("n"), F.md5("body").alias("body_md5"))
+
+
+CANDIDATES = """c as (
+  select conv_id, text, row_number() over (partition by conv_id order by turn) - 1 as i, -((conv_id * 7 + turn * 13) % 11) / 4.0 as lp, ((conv_id * 5 + turn * 3) % 7) / 7.0 as sac, (conv_id + turn) % 3 = 0 as ok
+  from conversations where role = 'assistant'),
+v as (select *, max(case when ok then 1 else 0 end) over (partition by conv_id) as any_ok from c)"""
+
+
+@query(f"""with {CANDIDATES} select conv_id, count(*)::int as num_candidates,
+  first(i order by lp desc, i)::int as best_likelihood_idx, first(i order by sac desc, i)::int as best_reranked_idx,
+  (first(i order by lp desc, i) filter (ok or any_ok = 0))::int as best_parse_likelihood_idx, (first(i order by sac desc, i) filter (ok or any_ok = 0))::int as best_parse_sac_idx, bool_or(ok) as any_parse_ok
+from v group by conv_id""")
+def select_rules(spark, d):
+    own = select_candidates(candidates(spark, d))
+    return own.select("conv_id", "num_candidates", "best_likelihood_idx", "best_reranked_idx", "best_parse_likelihood_idx", "best_parse_sac_idx", "any_parse_ok")
+
+
+@query(f"""with {CANDIDATES}, b as (select conv_id, first(text order by i) as first, first(text order by lp desc, i) as likelihood, first(text order by sac desc, i) as reranked,
+  first(text order by lp desc, i) filter (ok or any_ok = 0) as parse_likelihood, first(text order by sac desc, i) filter (ok or any_ok = 0) as parse_sac from v group by conv_id),
+u as (unpivot b on first, likelihood, reranked, parse_likelihood, parse_sac into name rule value prediction)
+select rule, count(*) as n, sum(length(prediction))::bigint as chars from u group by rule""")
+def predictions_by_rule(spark, d):
+    own = by_rule(select_candidates(candidates(spark, d)), ["conv_id"])
+    return own.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("prediction")).alias("chars"))
+
+
+@query("select vec_id, round(list_sum(list_transform(embedding, lambda x: -abs(x::double))), 4) as logprob_sum, round(list_sum(list_transform(embedding, lambda x: -abs(x::double))) / len(embedding), 4) as logprob_mean from embeddings")
+def sequence_logprob(spark, d):
+    steps = F.transform("embedding", lambda x: -F.abs(x.cast("double")))
+    own = table(spark, d, "embeddings").select("vec_id", F.concat(steps, F.array(F.lit(float("-inf")))).alias("t"))
+    total, mean = sequence_logprobs(F.col("t"))
+    return own.select("vec_id", F.round(total, 4).alias("logprob_sum"), F.round(mean, 4).alias("logprob_mean"))
+
+
+@query("select d.doc_id, d.source, l.quality, case when l.doc_id is null then cast(d.n_chars as int) else l.toxic end as n_chars from documents d left join labels l using (doc_id)")
+def merge_annotations(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", F.col("n_chars").cast("int").alias("n_chars"))
+    notes = table(spark, d, "labels").select("doc_id", "quality", F.col("toxic").alias("n_chars"), F.col("doc_id").alias("o"))
+    return joins.merge_annotations(docs, notes, ["quality", "n_chars"], key="doc_id", order="o").select("doc_id", "source", "quality", "n_chars")
+
+
+@query("select conv_id, turn from conversations where conv_id not in (select conv_id from conversations where role = 'assistant' and turn % 4 = 1)")
+def resume_anti_join(spark, d):
+    own = table(spark, d, "conversations")
+    done = own.filter("role = 'assistant' AND turn % 4 = 1").select("conv_id")
+    return joins.resume(own, done, "conv_id").select("conv_id", "turn")
+
+
+@query("select cast(conv_id * 1000 + turn as varchar) as custom_id, role as key, case when turn % 5 = 4 then 'ERROR: status 500' when turn % 7 = 6 then 'ERROR: late' else trim(text) end as prediction from conversations where turn < 1000")
+def collect_batch(spark, d):
+    own = table(spark, d, "conversations").filter("turn < 1000").withColumn("custom_id", (F.col("conv_id") * 1000 + F.col("turn")).cast("string"))
+    answers = own.select("custom_id", F.when((F.col("turn") % 7 == 6) & (F.col("turn") % 5 != 4), "late").alias("error"), F.when(F.col("turn") % 5 == 4, 500).otherwise(200).alias("status_code"), F.col("text").alias("content"))
+    meta = own.select("custom_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("order"), F.col("role").alias("key"))
+    return joins.collect_responses(answers, meta)
+
+
+@query(f"""with {PROGRAMS}, c as (select program_id, pr, m, string_agg(block, chr(10) order by n) as body from p group by program_id, pr, m)
+select program_id, md5(case pr when '1-URGENT' then 'when @greenFlag clicked' when '2-HIGH' then 'when this sprite clicked' when '3-MEDIUM' then 'when (space v) key pressed' when '4-NOT SPECIFIED' then 'when backdrop switches to [b' || m || ' v]' else 'when I receive [msg' || m || ' v]' end || chr(10) || body) as target_md5 from c""")
+def sft_rows(spark, d):
+    rows = prompting.training_rows(programs(spark, d), "You write programs.", key="program_id", lines="lines")
+    return rows.select("program_id", F.md5("target").alias("target_md5"))
+
+
+@query("select lang, count(*) as n from documents group by lang")
+def split_counts(spark, d):
+    return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select doc_id, md5(text) as kept from documents")
+def strip_special_tokens(spark, d):
+    marked = F.concat("text", F.element_at(F.array(*map(F.lit, T.SPECIAL_MARKERS)), (F.col("doc_id") % len(T.SPECIAL_MARKERS) + 1).cast("int")), F.lit("junk<|user|>"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.strip_special_tokens(marked)).alias("kept"))
+
+
+@query("select doc_id, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) as kept from documents")
+def truncate_chat(spark, d):
+    marked = F.concat("text", F.element_at(F.array(*map(F.lit, T.CHAT_MARKERS)), (F.col("doc_id") % len(T.CHAT_MARKERS) + 1).cast("int")), F.lit("junk"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.truncate_chat(marked)).alias("kept"))
+
+
+@query("""select conv_id, turn, '{"model":"gpt-5-mini","messages":[{"role":"user","content":"' || role || '"}],"max_completion_tokens":1500' || case when turn % 2 = 0 then ',"temperature":0.5' else '' end || ',"reasoning_effort":"medium"}' as body from conversations""")
+def chat_bodies(spark, d):
+    body = prompting.chat_body(F.lit("gpt-5-mini"), F.col("role"), temperature=F.when(F.col("turn") % 2 == 0, F.lit(0.5)))
+    return table(spark, d, "conversations").select("conv_id", "turn", body.alias("body"))
