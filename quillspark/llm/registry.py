@@ -164,7 +164,7 @@ gone as (select distinct r, p from o, unnest(range(i, i + n)) as v(p) where k >
 g as (select doc_id, text, list(p) as ps from gone join one using (r) group by doc_id, text)
 select d.doc_id, cast(coalesce(len(lines), 0) as bigint) as n_lines, cast(coalesce(len(ps), 0) as bigint) as n_removed,
        md5(coalesce(case when ps is null then d.text
-         else array_to_string(list_transform(list_filter(range(1, len(lines) + 1), x -> not list_contains(ps, x)), x -> lines[x]), chr(10)) end, '')) as kept_md5
+         else array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda x: not list_contains(ps, x)), lambda x: lines[x]), chr(10)) end, '')) as kept_md5
 from d left join g on d.doc_id = g.doc_id and d.text = g.text
 """,
 }
