@@ -8,6 +8,7 @@ from quillspark.llm.common import table, write_shared
 from quillspark.llm.decontamination import contamination
 from quillspark.llm.jaccard_join import near_duplicates
 from quillspark.llm.line_dedup import dedup_lines
+from quillspark.llm.media import find_copies, render
 from quillspark.llm.mixing import mix, sized
 from quillspark.llm.pii import KINDS, find_pii, joined
 from quillspark.llm.secrets import find_secrets
@@ -75,6 +76,12 @@ def op5_line_dedup(spark, sf_dir):
     return docs.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 
+def op6_media_copies(spark, sf_dir):
+    """Copies among the pictures of all pages of those whose id is divisible by 100."""
+    pictures = write_shared(render(table(spark, sf_dir, "pages")), "op6")
+    return find_copies(pictures, pictures.filter("page_id % 100 = 0"), id_col="page_id").withColumnsRenamed({"query": "query_page_id", "id": "page_id"})
+
+
 def op7_jaccard_join(spark, sf_dir):
     """Components of documents that share 85 % of their four-word runs."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
@@ -122,6 +129,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_secrets": op4_secrets,
     "op5_line_dedup": op5_line_dedup,
+    "op6_media_copies": op6_media_copies,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
