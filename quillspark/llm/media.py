@@ -11,6 +11,7 @@ Images of equal pixels form one class, which takes part once.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,18 +38,12 @@ def decode(data: bytes) -> np.ndarray:
     """
     try:
         if data[:2] in (b"P5", b"P6"):
-            fields, at = [], 2
-            while len(fields) < 3:
-                while data[at : at + 1].isspace():
-                    at += 1
-                end = at
-                while not data[end : end + 1].isspace():
-                    end += 1
-                fields.append(int(data[at:end]))
-                at = end
-            w, h, _ = fields
+            head = re.match(rb"P[56]\s+(\d+)\s+(\d+)\s+(\d+)\s", data)
+            if head is None:
+                return np.zeros((0, 0), np.float32)
+            w, h, at = int(head[1]), int(head[2]), head.end()
             deep = 3 if data[:2] == b"P6" else 1
-            pixels = np.frombuffer(data, np.uint8, w * h * deep, at + 1).reshape(h, w, deep)
+            pixels = np.frombuffer(data, np.uint8, w * h * deep, at).reshape(h, w, deep)
         elif data[:8] == b"\x89PNG\r\n\x1a\n":
             pixels = _png(data)
         else:
@@ -66,6 +61,8 @@ def _png(data: bytes) -> np.ndarray:
         head = struct.unpack(">IIBBBBB", body) if kind == b"IHDR" else head
         packed += body if kind == b"IDAT" else b""
         at += size + 12
+    if head is None:
+        raise ValueError("no header")
     w, h, depth, color, *_, interlaced = head
     deep = {0: 1, 2: 3, 4: 2, 6: 4}[color]
     if depth != 8 or interlaced:
