@@ -233,16 +233,25 @@ def open_pairs(members: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     they share.  Members linked with the leader are in one component, so one of
     a pair is an outer member; n-grams of the same members count as one.
     """
-    outer = members.filter(~F.col("at_lead"))
-    members = members.join(outer.select("lead").distinct(), "lead", "left_semi")
-    ours = outer.select("lead", F.col("x").alias("a"), F.col("n").alias("na"), F.col("e").alias("ea"), F.col("m").alias("ma"), F.col("label").alias("la"))
-    others = members.select("lead", F.col("x").alias("b"), F.col("n").alias("nb"), F.col("e").alias("eb"), F.col("m").alias("mb"), F.col("label").alias("lb"))
+    numbers = ["lead", "n", "e", "m"]
+    side = lambda df, k: df.select("lead", *[F.col(c).alias(f"{c}{k}") for c in df.columns if c != "lead"])
     d = (100 - percent) * (F.col("na") + F.col("nb")) / (100 + percent)
     need = F.col("ea") + F.col("eb") + F.abs(F.col("ma") - F.col("mb")) - d
-    columns = ["a", "na", "b", "nb"]
-    profiles = others.select("lead", "nb", "eb", "mb").distinct()
-    by_number = ours.join(profiles, "lead").filter(need <= 0).join(others, ["lead", "nb", "eb", "mb"]).filter("la != lb").select(*columns)
-    own = members.select("lead", "x").join(grams.select(F.col("c").alias("x"), "part", "grams"), "x")
+    similar = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    # first by the numbers: A and B differ in |ea - eb| + |ma - mb| n-grams at least
+    outer = members.filter(~F.col("at_lead"))
+    profiles = members.groupBy(*numbers).agg(F.count(F.lit(1)).alias("k"))
+    close = F.abs(F.col("ea") - F.col("eb")) + F.abs(F.col("ma") - F.col("mb")) <= d
+    itself = (F.col("na") == F.col("nb")) & (F.col("ea") == F.col("eb")) & (F.col("ma") == F.col("mb")) & (F.col("kb") == 1)
+    met = side(outer.select(*numbers).distinct(), "a").join(side(profiles, "b"), "lead").filter(similar & close & ~itself)
+    met = write_shared(met.drop("kb"), "profiles")
+    kept = lambda df, k: df.join(met.select("lead", *[F.col(f"{c}{k}").alias(c) for c in numbers[1:]]).distinct(), numbers, "left_semi")
+    ours = kept(outer, "a").select(*numbers, "x", "label")
+    others = kept(members, "b").select(*numbers, "x", "label")
+    columns = ["xa", "na", "xb", "nb"]
+    by_number = side(ours, "a").join(met.filter(need <= 0), ["lead", "na", "ea", "ma"]).join(side(others, "b"), ["lead", "nb", "eb", "mb"]).filter("labela != labelb").select(*columns)
+    both = ours.unionAll(others).distinct()
+    own = both.select("lead", "x").join(grams.select(F.col("c").alias("x"), "part", "grams"), "x")
     theirs = grams.select(F.col("c").alias("lead"), "part", F.col("grams").alias("led"))
     extra = own.join(theirs, ["lead", "part"], "left").select("lead", "x", F.explode(F.array_except("grams", F.coalesce("led", F.array().cast("array<long>")))).alias("gram"))
     extra = write_shared(extra, "extra")
@@ -250,11 +259,14 @@ def open_pairs(members: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     alike = alike.withColumn("of", F.xxhash64("of", "k"))
     sets = extra.join(alike.select("lead", "gram", "of"), ["lead", "gram"]).groupBy("lead", "of", "x").agg(F.count(F.lit(1)).alias("w"))
     sets = write_shared(sets, "shared")
-    left = sets.join(ours.select("lead", F.col("a").alias("x")), ["lead", "x"], "left_semi").select("lead", "of", F.col("x").alias("a"), "w")
-    met = left.join(sets.select("lead", "of", F.col("x").alias("b")), ["lead", "of"]).filter("a != b")
-    met = met.groupBy("lead", "a", "b").agg(F.sum("w").alias("shared"))
-    by_share = met.join(ours, ["lead", "a"]).join(others, ["lead", "b"]).filter((need <= 2 * F.col("shared")) & (F.col("la") != F.col("lb"))).select(*columns)
-    pairs = by_number.unionAll(by_share).filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    sums = sets.groupBy("lead", "x").agg(F.sum("w").alias("s"))
+    sets = sets.join(sums, ["lead", "x"])
+    left, right = side(sets.join(ours, ["lead", "x"]).withColumnRenamed("of", "lead_of"), "a"), side(sets.join(others, ["lead", "x"]).withColumnRenamed("of", "lead_of"), "b")
+    # they can share no more than what each has in common with anyone
+    may = similar & (F.col("labela") != F.col("labelb")) & (need <= 2 * F.least("sa", "sb"))
+    shared = left.join(right, (left["lead"] == right["lead"]) & (F.col("lead_ofa") == F.col("lead_ofb")) & may).drop(right["lead"])
+    by_share = shared.groupBy("lead", *columns, "ea", "eb", "ma", "mb").agg(F.sum("wa").alias("shared")).filter(need <= 2 * F.col("shared")).select(*columns)
+    pairs = by_number.unionAll(by_share).filter(similar).select(F.col("xa").alias("a"), "na", F.col("xb").alias("b"), "nb")
     low = F.col("a") < F.col("b")
     return pairs.select(F.least("a", "b").alias("a"), F.when(low, F.col("na")).otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"), F.when(low, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
 
