@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import write_shared
 
 #: Bits of a descriptor, bands that it is cut into, and half the side of a patch.
-BITS, BANDS, RADIUS = 128, 8, 12
+BITS, BANDS, RADIUS = 128, 4, 12
 #: Orientations for which the tests are laid out.
 TURNS = 16
+#: Buckets of the table that keeps bands which no query has from being shuffled; it is broadcast, and its size fixed.
+BUCKETS = 1 << 20
 #: Largest number of bits in which matching descriptors differ; below BANDS, the join finds every such pair.
 NEAR = BANDS - 1
 
@@ -174,15 +176,18 @@ def find_copies(images: DataFrame, queries: DataFrame, *, id_col: str = "id", da
     Null, empty and unreadable images match nothing; equal rows are one image; an
     empty table gives an empty result; other columns are not read.
     """
-    own = write_shared(index(images, id_col, data_col).distinct(), "media")
-    classes = own.filter("size > 0").select("id", "c")
+    own = write_shared(index(images, id_col, data_col), "media")
+    classes = own.filter("size > 0").select("id", "c").distinct()
     asked = classes.join(queries.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
-    points = own.filter("size > 0").dropDuplicates(["c"]).select("c", F.explode("points").alias("p")).select("c", "p.*")
+    points = own.filter("size > 0").select("c", F.explode("points").alias("p")).select("c", "p.*")
     width = BITS // BANDS // 8
     bands = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.substring("bits", b * width + 1, width).alias("value")) for b in range(BANDS)]))
     rows = points.withColumn("_b", bands).select("c", "x", "y", "scale", "turn", "bits", "_b.*")
     few = points.join(asked.select("c").distinct(), "c", "left_semi").select([F.col(k).alias(f"q{k}") for k in ("c", "x", "y", "scale", "turn", "bits")])
     few = few.withColumn("_b", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.substring("qbits", b * width + 1, width).alias("value")) for b in range(BANDS)]))).select("qc", "qx", "qy", "qscale", "qturn", "qbits", "_b.*")
+    few = few.distinct()
+    bucket = F.pmod(F.xxhash64("band", "value"), F.lit(BUCKETS))
+    rows = rows.withColumn("_k", bucket).join(F.broadcast(few.select(bucket.alias("_k")).distinct()), "_k", "left_semi").drop("_k").distinct()
     word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
     apart = sum((F.bit_count(word("bits", i).bitwiseXOR(word("qbits", i))) for i in range(BITS // 64)), F.lit(0))
     met = rows.join(few, ["band", "value"]).filter("c != qc").filter(apart <= NEAR)

@@ -78,8 +78,8 @@ def op5_line_dedup(spark, sf_dir):
 
 def op6_media_copies(spark, sf_dir):
     """Copies among the pictures of all pages of those whose id is divisible by 100."""
-    pictures = write_shared(render(table(spark, sf_dir, "pages")), "op6")
-    return find_copies(pictures, pictures.filter("page_id % 100 = 0"), id_col="page_id").withColumnsRenamed({"query": "query_page_id", "id": "page_id"})
+    pages = table(spark, sf_dir, "pages")
+    return find_copies(render(pages), pages.filter("page_id % 100 = 0"), id_col="page_id").withColumnsRenamed({"query": "query_page_id", "id": "page_id"})
 
 
 def op7_jaccard_join(spark, sf_dir):
