@@ -33,11 +33,12 @@ BUCKETS = 1 << 20
 NEAR = BANDS - 1
 
 
-def decode(data: bytes) -> np.ndarray:
+def decode(data: bytes | bytearray) -> np.ndarray:
     """Grey pixels (rows, columns) of a binary PGM or PPM, or of an 8-bit PNG that isn't interlaced.
 
     Anything else, and a damaged file, gives an empty array.
     """
+    data = bytes(data)
     try:
         if data[:2] in (b"P5", b"P6"):
             head = re.match(rb"P[56]\s+(\d+)\s+(\d+)\s+(\d+)\s", data)
@@ -144,7 +145,7 @@ def keypoints(image: np.ndarray, levels: int = 3, most: int = 60) -> list[tuple[
     return out
 
 
-def index(images: DataFrame, id_col: str, data_col: str) -> DataFrame:
+def index(images: DataFrame, id_col: str, data_col: str, read=decode) -> DataFrame:
     """(id, c, size, points): the class of each image's pixels, how many, and its keypoints."""
     kind = images.schema[id_col].dataType.simpleString()
 
@@ -154,29 +155,31 @@ def index(images: DataFrame, id_col: str, data_col: str) -> DataFrame:
         for batch in batches:
             rows = []
             for i, data in zip(batch["id"], batch["data"]):
-                image = decode(bytes(data))
+                image = read(data)
                 c = int(np.uint64(xxhash.xxh3_64_intdigest(repr(image.shape).encode() + image.tobytes())).astype(np.int64))
                 rows.append((i, c, image.size, [{"x": x, "y": y, "scale": s, "turn": t, "bits": b} for x, y, s, t, b in keypoints(image)]))
-                if len(rows) >= 200:
+                if len(rows) >= 100:
                     yield pd.DataFrame(rows, columns=["id", "c", "size", "points"])
                     rows = []
             if rows:
                 yield pd.DataFrame(rows, columns=["id", "c", "size", "points"])
 
     point = "array<struct<x: double, y: double, scale: double, turn: int, bits: binary>>"
-    own = images.select(F.col(id_col).alias("id"), F.coalesce(F.col(data_col), F.lit(b"")).alias("data"))
+    empty = F.lit("").cast(images.schema[data_col].dataType)
+    own = images.select(F.col(id_col).alias("id"), F.coalesce(F.col(data_col), empty).alias("data"))
     return own.mapInPandas(run, f"id {kind}, c long, size long, points {point}")
 
 
-def find_copies(images: DataFrame, queries: DataFrame, *, id_col: str = "id", data_col: str = "data", votes: int = 8, cell: float = 24.0) -> DataFrame:
+def find_copies(images: DataFrame, queries: DataFrame, *, id_col: str = "id", data_col: str = "data", votes: int = 8, cell: float = 24.0, read=decode) -> DataFrame:
     """(query, id, votes, is_same): images that are copies of the queries (ids), cropped, shifted, turned or edited in parts.
 
     ``votes``: keypoints of the query that agree on turn, scale and shift (to
     ``cell`` pixels).  Images of equal pixels are copies with ``is_same`` true.
     Null, empty and unreadable images match nothing; equal rows are one image; an
-    empty table gives an empty result; other columns are not read.
+    empty table gives an empty result; other columns are not read.  ``read`` makes
+    grey pixels of a cell of ``data_col``.
     """
-    own = write_shared(index(images, id_col, data_col), "media")
+    own = write_shared(index(images, id_col, data_col, read), "media")
     classes = own.filter("size > 0").select("id", "c").distinct()
     asked = classes.join(queries.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
     points = own.filter("size > 0").select("c", F.explode("points").alias("p")).select("c", "p.*")
@@ -206,23 +209,17 @@ def find_copies(images: DataFrame, queries: DataFrame, *, id_col: str = "id", da
     return copies.unionByName(same).distinct()
 
 
-def render(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", columns: int = 24) -> DataFrame:
-    """(id_col, data): a picture of each page's words as a PGM: every word fills a tile with a pattern of its own."""
-    kind = pages.schema[id_col].dataType.simpleString()
+def draw(text: str, columns: int = 24) -> np.ndarray:
+    """A picture of a text: every word fills a tile with a pattern of its own."""
+    words = text.split()
+    rows = max(1, -(-len(words) // columns))
+    seeds = np.zeros(rows * columns, np.uint64)
+    seeds[: len(words)] = [zlib.crc32(w.encode()) | 1 << 32 for w in words]
+    shades = (seeds[:, None] * np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint64) >> np.uint64(13)) & np.uint64(255)
+    tiles = np.where(seeds[:, None] > 0, shades, 255).astype(np.uint8).reshape(rows, columns, 2, 2)
+    return tiles.transpose(0, 2, 1, 3).reshape(2 * rows, 2 * columns).repeat(4, 0).repeat(4, 1).astype(np.float32)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            data = []
-            for text in batch["text"]:
-                words = text.split()
-                rows = max(1, -(-len(words) // columns))
-                seeds = np.zeros(rows * columns, np.uint64)
-                seeds[: len(words)] = [zlib.crc32(w.encode()) | 1 << 32 for w in words]
-                shades = (seeds[:, None] * np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint64) >> np.uint64(13)) & np.uint64(255)
-                tiles = np.where(seeds[:, None] > 0, shades, 255).astype(np.uint8).reshape(rows, columns, 2, 2)
-                image = tiles.transpose(0, 2, 1, 3).reshape(2 * rows, 2 * columns).repeat(4, 0).repeat(4, 1)
-                data.append(b"P5 %d %d 255\n" % image.shape[::-1] + image.tobytes())
-            yield pd.DataFrame({"id": batch["id"], "data": data})
-
-    text = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"(?s)<(script|style|nav|head)\b.*?</\1>|<[^>]*>", " ")
-    return pages.select(F.col(id_col).alias("id"), text.alias("text")).mapInPandas(run, f"id {kind}, data binary").withColumnRenamed("id", id_col)
+
+def page_text(html: str = "html"):
+    """What a page shows, as a Column: without tags, scripts, styles and navigation."""
+    return F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?s)<(script|style|nav|head)\b.*?</\1>|<[^>]*>", " ")

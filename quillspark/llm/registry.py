@@ -8,7 +8,7 @@ from quillspark.llm.common import table, write_shared
 from quillspark.llm.decontamination import contamination
 from quillspark.llm.jaccard_join import near_duplicates
 from quillspark.llm.line_dedup import dedup_lines
-from quillspark.llm.media import find_copies, render
+from quillspark.llm.media import draw, find_copies, page_text
 from quillspark.llm.mixing import mix, sized
 from quillspark.llm.pii import KINDS, find_pii, joined
 from quillspark.llm.secrets import find_secrets
@@ -78,8 +78,8 @@ def op5_line_dedup(spark, sf_dir):
 
 def op6_media_copies(spark, sf_dir):
     """Copies among the pictures of all pages of those whose id is divisible by 100."""
-    pages = table(spark, sf_dir, "pages")
-    return find_copies(render(pages), pages.filter("page_id % 100 = 0"), id_col="page_id").withColumnsRenamed({"query": "query_page_id", "id": "page_id"})
+    pages = table(spark, sf_dir, "pages").select("page_id", page_text().alias("shown"))
+    return find_copies(pages, pages.filter("page_id % 100 = 0"), id_col="page_id", data_col="shown", read=draw).withColumnsRenamed({"query": "query_page_id", "id": "page_id"})
 
 
 def op7_jaccard_join(spark, sf_dir):

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from quillspark.llm.media import decode, find_copies, keypoints, render
+from quillspark.llm.media import decode, draw, find_copies, keypoints, page_text
 
 
 def pgm(image):
@@ -46,6 +46,6 @@ def test_empty_and_pages(spark):
     assert find_copies(none, none).count() == 0
     words = " ".join(f"w{i}" for i in range(300))
     pages = spark.createDataFrame([(0, f"<p>{words}</p>"), (1, f"<html><p>{words}</p> more words here"), (2, f"<p>{' '.join(f'v{i}' for i in range(300))}"), (3, None), (4, "")], "page_id long, html string")
-    pictures = render(pages)
-    got = {(r["query"], r["id"]) for r in find_copies(pictures, pictures.filter("page_id = 0"), id_col="page_id").collect()}
+    pages = pages.select("page_id", page_text().alias("shown"))
+    got = {(r["query"], r["id"]) for r in find_copies(pages, pages.filter("page_id = 0"), id_col="page_id", data_col="shown", read=draw).collect()}
     assert got == {(0, 1)}
