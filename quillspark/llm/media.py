@@ -2,9 +2,11 @@
 
 Corners are found at several scales; around each, binary tests, turned to the
 patch's orientation, give 128 bits.  The bits are cut into bands: descriptors
-that differ in fewer bits than there are bands agree on one, so tables of bands,
-joined, give all near matches.  Matches vote for the similarity transform that
-they imply; images whose best transform has enough votes are copies.
+that differ in fewer than twice as many bits as there are bands differ in one bit
+at most of some band, so the images' bands, joined with the queries' bands and all
+their neighbours of one other bit, give all near matches.  Matches vote for the
+similarity transform that they imply; images whose best transform has enough
+votes are copies.
 
 Images of equal pixels form one class, which takes part once.
 """
@@ -27,10 +29,8 @@ from quillspark.llm.common import write_shared
 BITS, BANDS, RADIUS = 128, 4, 12
 #: Orientations for which the tests are laid out.
 TURNS = 16
-#: Buckets of the table that keeps bands which no query has from being shuffled; it is broadcast, and its size fixed.
-BUCKETS = 1 << 20
-#: Largest number of bits in which matching descriptors differ; below BANDS, the join finds every such pair.
-NEAR = BANDS - 1
+#: Largest number of bits in which matching descriptors differ; below 2 * BANDS, the join finds every such pair.
+NEAR = 2 * BANDS - 1
 
 
 def decode(data: bytes | bytearray) -> np.ndarray:
@@ -182,15 +182,16 @@ def find_copies(images: DataFrame, queries: DataFrame, *, id_col: str = "id", da
     own = write_shared(index(images, id_col, data_col, read), "media")
     classes = own.filter("size > 0").select("id", "c").distinct()
     asked = classes.join(queries.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
-    points = own.filter("size > 0").select("c", F.explode("points").alias("p")).select("c", "p.*")
+    # one row for each point of a class, however many images it has
+    points = own.filter("size > 0").select("c", F.explode("points").alias("p")).select("c", "p.*").distinct()
     width = BITS // BANDS // 8
-    bands = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.substring("bits", b * width + 1, width).alias("value")) for b in range(BANDS)]))
+    value = lambda b: F.conv(F.hex(F.substring("bits", b * width + 1, width)), 16, 10).cast("long")
+    bands = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), value(b).alias("value")) for b in range(BANDS)]))
     rows = points.withColumn("_b", bands).select("c", "x", "y", "scale", "turn", "bits", "_b.*")
-    few = points.join(asked.select("c").distinct(), "c", "left_semi").select([F.col(k).alias(f"q{k}") for k in ("c", "x", "y", "scale", "turn", "bits")])
-    few = few.withColumn("_b", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.substring("qbits", b * width + 1, width).alias("value")) for b in range(BANDS)]))).select("qc", "qx", "qy", "qscale", "qturn", "qbits", "_b.*")
-    few = few.distinct()
-    bucket = F.pmod(F.xxhash64("band", "value"), F.lit(BUCKETS))
-    rows = rows.withColumn("_k", bucket).join(F.broadcast(few.select(bucket.alias("_k")).distinct()), "_k", "left_semi").drop("_k").distinct()
+    # the queries' bands stand for themselves and for every value that differs in one bit
+    flips = F.explode(F.array(*[F.lit(m).cast("long") for m in (0, *(1 << i for i in range(8 * width)))]))
+    few = points.join(asked.select("c").distinct(), "c", "left_semi").withColumn("_b", bands).withColumn("_m", flips)
+    few = few.select(*[F.col(k).alias(f"q{k}") for k in ("c", "x", "y", "scale", "turn", "bits")], F.col("_b.band").alias("band"), F.col("_b.value").bitwiseXOR(F.col("_m")).alias("value"))
     word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
     apart = sum((F.bit_count(word("bits", i).bitwiseXOR(word("qbits", i))) for i in range(BITS // 64)), F.lit(0))
     met = rows.join(few, ["band", "value"]).filter("c != qc").filter(apart <= NEAR)

@@ -49,3 +49,49 @@ def test_empty_and_pages(spark):
     pages = pages.select("page_id", page_text().alias("shown"))
     got = {(r["query"], r["id"]) for r in find_copies(pages, pages.filter("page_id = 0"), id_col="page_id", data_col="shown", read=draw).collect()}
     assert got == {(0, 1)}
+
+
+def brute_copies(images, queries, near=7, votes=8, cell=24.0):
+    """{(query, id)} by comparing every descriptor with every other one."""
+    points = {i: keypoints(decode(data)) for i, data in images.items()}
+    bits = {i: np.unpackbits(np.frombuffer(b"".join(p[4] for p in own), np.uint8).reshape(-1, 16), axis=1).astype(int) for i, own in points.items() if own}
+    out = set()
+    for q in queries:
+        for i in bits:
+            if images[i] == images[q]:
+                continue
+            apart = (bits[q][:, None] != bits[i][None]).sum(2)
+            cells = {}
+            for a, b in zip(*np.nonzero(apart <= near)):
+                (qx, qy, qs, qt, _), (x, y, s, t, _) = points[q][a], points[i][b]
+                turned, ratio = (t - qt) % 16, s / qs
+                angle = turned * 2 * np.pi / 16
+                dx, dy = x - ratio * (np.cos(angle) * qx - np.sin(angle) * qy), y - ratio * (np.cos(angle) * qy + np.sin(angle) * qx)
+                for j in (0, 1):
+                    for k in (0, 1):
+                        at = (turned, ratio, j, k, np.floor(dx / cell + j / 2), np.floor(dy / cell + k / 2))
+                        cells.setdefault(at, set()).add((qx, qy, qs))
+            if max(map(len, cells.values()), default=0) >= votes:
+                out.add((q, i))
+    return out
+
+
+def altered():
+    """Pictures 0 to 11, and a cropped, a noisy and a halved copy of each: id 100 * k + picture."""
+    rng = np.random.default_rng(5)
+    images = {}
+    for i in range(12):
+        base = picture(i, 240, 304)
+        noisy = np.clip(base + rng.normal(0, 60, base.shape), 0, 255)
+        halved = base.reshape(120, 2, 152, 2).mean((1, 3)) + rng.normal(0, 40, (120, 152))
+        images |= {i: pgm(base), 100 + i: pgm(base[51:181, 37:207]), 200 + i: pgm(noisy), 300 + i: pgm(np.clip(halved, 0, 255))}
+    return images
+
+
+def test_recall_of_altered_copies(spark):
+    images = altered()
+    frame = spark.createDataFrame([(i, bytes(d)) for i, d in images.items()], "id long, data binary").repartition(4)
+    got = {(r["query"], r["id"]) for r in find_copies(frame, frame.filter("id < 100")).collect()}
+    assert got == brute_copies(images, range(12))
+    for kind in (1, 2, 3):
+        assert sum((i, 100 * kind + i) in got for i in range(12)) >= 0.9 * 12
