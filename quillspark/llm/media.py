@@ -27,6 +27,8 @@ from quillspark.llm.common import write_shared
 
 #: Bits of a descriptor, bands that it is cut into, and half the side of a patch.
 BITS, BANDS, RADIUS = 128, 4, 12
+#: A corner is the strongest within so many pixels.
+APART = 4
 #: Orientations for which the tests are laid out.
 TURNS = 16
 #: Largest number of bits in which matching descriptors differ; below 2 * BANDS, the join finds every such pair.
@@ -111,8 +113,24 @@ def _blur(image: np.ndarray) -> np.ndarray:
     return (rows[:, :-2] + rows[:, 1:-1] + rows[:, 2:]) / 9
 
 
-def keypoints(image: np.ndarray, levels: int = 3, most: int = 60) -> list[tuple[float, float, float, int, bytes]]:
-    """(x, y, scale, turn, descriptor) of the ``most`` strongest corners of each level of the pyramid."""
+def _around(values: np.ndarray, reach: int) -> np.ndarray:
+    """Largest value within ``reach`` rows and columns of each one."""
+    for axis in (0, 1):
+        n, out = 1, np.pad(values, [(reach, reach) if k == axis else (0, 0) for k in (0, 1)], constant_values=-np.inf)
+        cut = lambda a, i, m: a[i : i + m] if axis == 0 else a[:, i : i + m]  # noqa: B023, E731
+        while n < 2 * reach + 1:  # out[i] is the largest of n values from i on
+            step = min(n, 2 * reach + 1 - n)
+            m = out.shape[axis] - step
+            out, n = np.maximum(cut(out, 0, m), cut(out, step, m)), n + step
+        values = out
+    return values
+
+
+def keypoints(image: np.ndarray, levels: int = 3) -> list[tuple[float, float, float, int, bytes]]:
+    """(x, y, scale, turn, descriptor) of all corners of each level of the pyramid that are the strongest within APART pixels.
+
+    Whether a corner is taken depends on its surroundings alone, so a crop keeps those of its part of the whole.
+    """
     out, scale = [], 1.0
     for _ in range(levels):
         h, w = image.shape
@@ -124,22 +142,22 @@ def keypoints(image: np.ndarray, levels: int = 3, most: int = 60) -> list[tuple[
         strength = a * b - c * c - 0.05 * (a + b) ** 2
         edge = RADIUS + 1
         inner = strength[edge:-edge, edge:-edge]
-        peak = inner > 1.0
+        peak = (inner > 1.0) & (inner >= _around(strength, APART)[edge:-edge, edge:-edge])
         for dy in (-1, 0, 1):
             for dx in (-1, 0, 1):
                 if dx or dy:
                     other = strength[edge + dy : h - edge + dy, edge + dx : w - edge + dx]
                     peak &= (inner > other) if (dy, dx) > (0, 0) else (inner >= other)
         ys, xs = np.nonzero(peak)
-        best = np.argsort(-inner[ys, xs], kind="stable")[:most]
-        ys, xs = ys[best] + edge, xs[best] + edge
-        if len(ys):
-            patches = smooth[ys[:, None, None] + _Y, xs[:, None, None] + _X] * _DISC
+        ys, xs = ys + edge, xs + edge
+        for part in range(0, len(ys), 1000):  # so that a large picture's patches aren't held at once
+            py, px = ys[part : part + 1000], xs[part : part + 1000]
+            patches = smooth[py[:, None, None] + _Y, px[:, None, None] + _X] * _DISC
             angle = np.arctan2((patches * _Y).sum((1, 2)), (patches * _X).sum((1, 2)))
             turn = np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS
-            points = lambda k: smooth[ys[:, None] + DY[turn, :, k], xs[:, None] + DX[turn, :, k]]
+            points = lambda k: smooth[py[:, None] + DY[turn, :, k], px[:, None] + DX[turn, :, k]]  # noqa: B023, E731
             bits = np.packbits(points(0) < points(1), axis=1)
-            out += [(float(x * scale), float(y * scale), scale, int(t), d.tobytes()) for x, y, t, d in zip(xs, ys, turn, bits)]
+            out += [(float(x * scale), float(y * scale), scale, int(t), d.tobytes()) for x, y, t, d in zip(px, py, turn, bits)]
         image = smooth[: h // 2 * 2, : w // 2 * 2].reshape(h // 2, 2, w // 2, 2).mean((1, 3))
         scale *= 2
     return out
@@ -153,14 +171,15 @@ def index(images: DataFrame, id_col: str, data_col: str, read=decode) -> DataFra
         import xxhash
 
         for batch in batches:
-            rows = []
+            rows, n = [], 0
             for i, data in zip(batch["id"], batch["data"]):
                 image = read(data)
                 c = int(np.uint64(xxhash.xxh3_64_intdigest(repr(image.shape).encode() + image.tobytes())).astype(np.int64))
                 rows.append((i, c, image.size, [{"x": x, "y": y, "scale": s, "turn": t, "bits": b} for x, y, s, t, b in keypoints(image)]))
-                if len(rows) >= 100:
+                n += len(rows[-1][3])
+                if len(rows) >= 100 or n >= 20_000:
                     yield pd.DataFrame(rows, columns=["id", "c", "size", "points"])
-                    rows = []
+                    rows, n = [], 0
             if rows:
                 yield pd.DataFrame(rows, columns=["id", "c", "size", "points"])
 

@@ -54,13 +54,13 @@ def test_empty_and_pages(spark):
 def brute_copies(images, queries, near=7, votes=8, cell=24.0):
     """{(query, id)} by comparing every descriptor with every other one."""
     points = {i: keypoints(decode(data)) for i, data in images.items()}
-    bits = {i: np.unpackbits(np.frombuffer(b"".join(p[4] for p in own), np.uint8).reshape(-1, 16), axis=1).astype(int) for i, own in points.items() if own}
+    bits = {i: np.unpackbits(np.frombuffer(b"".join(p[4] for p in own), np.uint8).reshape(-1, 16), axis=1).astype(np.float32) for i, own in points.items() if own}
     out = set()
     for q in queries:
         for i in bits:
             if images[i] == images[q]:
                 continue
-            apart = (bits[q][:, None] != bits[i][None]).sum(2)
+            apart = bits[q] @ (1 - bits[i]).T + (1 - bits[q]) @ bits[i].T
             cells = {}
             for a, b in zip(*np.nonzero(apart <= near)):
                 (qx, qy, qs, qt, _), (x, y, s, t, _) = points[q][a], points[i][b]
@@ -95,3 +95,20 @@ def test_recall_of_altered_copies(spark):
     assert got == brute_copies(images, range(12))
     for kind in (1, 2, 3):
         assert sum((i, 100 * kind + i) in got for i in range(12)) >= 0.9 * 12
+
+
+def test_corners_are_as_dense_in_a_large_picture():
+    strong = [len(keypoints(picture(3, h, 192).astype(np.float32))) for h in (400, 4000)]
+    assert strong[1] > 9 * strong[0]
+
+
+def test_a_small_crop_of_a_very_tall_page(spark):
+    words = [f"{w}{i % 977}" for i, w in enumerate(["alpha", "beta", "gamma", "delta", "eps"] * 1034)][:5169]
+    whole = draw(" ".join(words))
+    assert whole.shape == (1728, 192)
+    crops = {k + 1: whole[y : y + 172] for k, y in enumerate(range(3, 1500, 187))}
+    crops[20] = whole[801:880, 31:161]
+    rows = [(i, pgm(p)) for i, p in {0: whole, 99: picture(8, 1728, 192), **crops}.items()]
+    images = spark.createDataFrame(rows, "id long, data binary").repartition(4)
+    got = {(r["query"], r["id"]) for r in find_copies(images, images.filter("id != 99")).collect()}
+    assert {(0, i) for i in crops} | {(i, 0) for i in crops} <= got and not any(99 in pair for pair in got)
