@@ -1,3 +1,7 @@
+import hashlib
+import random
+
+from pyspark.sql import functions as F
 from quillspark.llm.secrets import find_secrets, train
 
 
@@ -33,3 +37,15 @@ def test_edges(spark):
     long = [(1, "a1" * 100_000, "p"), (2, "=" * 50_000, "p"), (3, "token=" * 20_000, "p"), (4, "A" * 100_000 + " 1", "p")]
     find_secrets(spark.createDataFrame(long, "doc_id long, text string, source string")).count()
     assert find_secrets(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_long_tokens_are_whole(spark):
+    rng = random.Random(6)
+    run = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n - 1)) + "7"
+    values = {1: run(201), 2: run(2000), 3: run(201), 4: run(2000), 5: "Q" * 300 + run(20), 6: "8" * 300 + run(20)}
+    lead = {i: "at token=" if i in (3, 4) else "at " for i in values}
+    docs = spark.createDataFrame([(i, f"{lead[i]}{v} end", "src") for i, v in values.items()], "doc_id long, text string, source string")
+    got = find_secrets(docs).select("doc_id", "kind", "start", "end", F.sha2("value", 256).alias("hash")).collect()
+    assert sorted(tuple(r) for r in got) == [
+        (i, "assigned" if i in (3, 4) else "mixed token", 3, len(lead[i]) + len(v), hashlib.sha256(v.encode()).hexdigest()) for i, v in values.items()
+    ]
