@@ -21,6 +21,13 @@ from quillspark.llm.toxicity import score
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """COLUMNS and _key, which only equal rows share and which sorts as doc_id does, null ids last."""
+    flipped = F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)).cast("long"))
+    by_id = F.coalesce(F.concat(F.lit("0"), F.lpad(F.hex(flipped), 16, "0")), F.lit("1"))
+    return docs.select(*COLUMNS, F.concat(by_id, F.md5(F.to_json(F.struct(*COLUMNS)))).alias("_key"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated toxicity is below 0.7."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -31,19 +38,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is linked by 85 % of common four-word runs: that of the least id.
 
-    Of rows that repeat the id that stays, one is kept.
+    Rows are told apart by all their columns, not by id: a unique text stays
+    whatever other rows have its id, or none.  Of rows that are equal in every
+    column one is kept.
     """
-    groups = near_duplicates(docs, size=4, percent=85)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    firsts = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return firsts.select(*COLUMNS).dropDuplicates(["doc_id"])
+    own = with_key(docs)
+    groups = near_duplicates(own, size=4, percent=85, id_col="_key")
+    kept = groups.filter(F.col("_key") == F.col("component_id")).select("_key").distinct()
+    return own.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of fewer than two benchmark items."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.filter(F.size("items") >= 2).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*COLUMNS)
+    """Documents that hold windows of fewer than two benchmark items; other rows of a dropped one's id stay."""
+    own = with_key(docs)
+    found = contamination(own, table(spark, sf_dir, "benchmark"), id_col="_key")
+    bad = found.filter(F.size("items") >= 2).select("_key").distinct()
+    return own.join(bad, "_key", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,3 +54,21 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none(spark, tmp_path):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    one, two = " ".join(f"p{i}" for i in range(8)), " ".join(f"q{i}" for i in range(8))
+    spark.createDataFrame([(1, one), (2, two)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    row = lambda i, t, lang="en": (i, t, lang, "s", None)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    big = 2**60 + 1
+    rows = [row(1, text("a")), row(5, text("a")), row(5, text("b")), row(None, text("c")), row(None, text("d")), row(None, text("a")), row(-3, text("e")), row(2, text("e"))]
+    rows += [row(7, text("f")), row(7, text("f")), row(8, text("g"), None), row(8, text("g"), "en"), row(None, None), row(None, ""), row(big, text("h")), row(big + 1, text("h"))]
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, schema).repartition(4), str(tmp_path)).collect()
+    kept = [(1, text("a")), (5, text("b")), (None, text("c")), (None, text("d")), (-3, text("e")), (7, text("f")), (8, text("g")), (None, None), (None, ""), (big, text("h"))]
+    assert Counter((r["doc_id"], r["text"]) for r in left) == Counter(kept)
+    bad = f"{one} and {two}"
+    rows = [row(1, bad), row(1, text("a")), row(None, bad), row(None, text("b")), row(None, None), row(2, text("c")), row(2, text("c"))]
+    left = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(rows, schema).repartition(4), str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in left) == Counter((r[0], r[1]) for r in rows if r[1] != bad)
