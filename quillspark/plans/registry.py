@@ -265,9 +265,13 @@ def resume_anti_join(spark, d):
 
 @query("select cast(conv_id * 1000 + turn as varchar) as custom_id, role as key, case when turn % 5 = 4 then 'ERROR: status 500' when turn % 7 = 6 then 'ERROR: late' else trim(text) end as prediction from conversations where turn < 1000")
 def collect_batch(spark, d):
-    own = table(spark, d, "conversations").filter("turn < 1000").withColumn("custom_id", (F.col("conv_id") * 1000 + F.col("turn")).cast("string"))
+    own = table(spark, d, "conversations")
+    # past turn 999 the number would be another conversation's
+    apart = F.concat_ws("-", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("conv_id", "turn")])
+    number = F.when(F.col("turn").between(0, 999), (F.col("conv_id") * 1000 + F.col("turn")).cast("string"))
+    own = own.withColumn("custom_id", F.coalesce(number, apart))
     answers = own.select("custom_id", F.when((F.col("turn") % 7 == 6) & (F.col("turn") % 5 != 4), "late").alias("error"), F.when(F.col("turn") % 5 == 4, 500).otherwise(200).alias("status_code"), F.col("text").alias("content"))
-    meta = own.select("custom_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("order"), F.col("role").alias("key"))
+    meta = own.select("custom_id", F.struct("conv_id", "turn").alias("order"), F.col("role").alias("key"))
     return joins.collect_responses(answers, meta)
 
 

@@ -75,3 +75,13 @@ def test_stream(spark, tmp_path):
     q = score_stream(read_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert spark.read.json(str(tmp_path / "out")).first()["alignment_score"] == 1.0
+
+
+def test_collect_batch_keeps_turns_past_999(spark, tmp_path):
+    from quillspark.plans import registry
+
+    rows = [(1, t, "user", f" t{t} ") for t in range(0, 2500, 100)] + [(2, 0, "user", "a"), (2, 100, "user", "b"), (3, None, "user", "c")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = [(r["custom_id"], r["prediction"]) for r in registry.QUERIES["collect_batch"](spark, str(tmp_path)).collect()]
+    ids = [str(1000 + t) if t < 1000 else f"1-{t}" for t in range(0, 2500, 100)] + ["2000", "2100", "3-null"]
+    assert [i for i, _ in got] == ids and ("1-2300", "t2300") in got
