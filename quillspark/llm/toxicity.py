@@ -93,13 +93,6 @@ class Scorer:
         for w in set(words).difference(known):
             known[w] = weight(w)
         scores = [known[w] for w in words]
-        if max(scores, default=0.0) > 0:
-            seen: dict[str, int] = {}
-            for i, w in enumerate(words):
-                if scores[i] > 0:
-                    seen[w] = times = seen.get(w, 0) + 1
-                    if times > 1:  # what a word adds halves each time that it is repeated
-                        scores[i] = scores[i] * 2.0 ** (1 - times) if times < 50 else self.model.drift
         if len(known) > 500_000:
             known.clear()
         if not scores or max(scores) <= 0:

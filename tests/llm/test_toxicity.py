@@ -82,3 +82,10 @@ def test_edges(spark):
     assert fit(frame, none).weights == {} and score(frame.limit(0), model).count() == 0
     one = spark.createDataFrame([(1, 1), (1, 0), (None, 0), (2, None)], "doc_id long, toxic int")
     assert all(r["_score"] < 0.7 for r in score(frame, fit(frame, one)).collect())
+
+
+def test_a_repeated_passage_is_found_each_time(spark):
+    model = ToxicityModel({w: (6.0, 9.0) for w in ("vile", "nasty", "awful")}, k=0.1, slope=4.0, bias=-6.0)
+    text = " ".join(["plain " * 200 + "vile nasty awful"] * 60)
+    (got,) = score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+    assert [text[p["start"] : p["end"]] for p in got["_passages"]] == ["vile nasty awful"] * 60
