@@ -18,37 +18,47 @@ def lower_ascii(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset (tests, local runs) a folder of our own is chosen
-    and set: under /tmp with a local master, else under the warehouse.
+    Only where that is unset with a local master (tests, local runs) a folder of
+    our own under /tmp is set; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         sc = spark.sparkContext
-        local = sc.master.startswith("local[") or sc.master == "local"
-        root = "/tmp/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir")
-        base = f"{root.rstrip('/')}/{sc.applicationId}"
+        if not (sc.master.startswith("local[") or sc.master == "local"):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"/tmp/checkpoints/{sc.applicationId}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def write_shared(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
-    This cuts the lineage at files that survive the loss of executors.
+    This cuts the lineage at files that survive the loss of executors; so the
+    shuffle files behind it are needed no longer and are removed at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_shared(df: DataFrame) -> None:
+def drop_shared(*tables: DataFrame) -> None:
     """Delete what write_shared wrote; only for tables that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

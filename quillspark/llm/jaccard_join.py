@@ -14,6 +14,7 @@ Documents with equal sets form one class, which takes part once.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,6 @@ from quillspark.llm.common import drop_shared, write_shared
 PARTS = 8
 #: Buckets of the bitmap that keeps classes without candidates from being read again; its size is fixed.
 BITMAP = 1 << 20
-NO_SIGNATURES = np.empty(0, np.int64)
 
 
 class Words(dict):
@@ -64,10 +64,11 @@ def shingles(text: str, size: int, words: Words) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def class_key(hashes: np.ndarray) -> int:
+def class_key(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits that sets share only if they are equal."""
     import xxhash
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).astype(np.int64))
+    return struct.unpack("<2q", xxhash.xxh3_128_digest(hashes.tobytes()))
 
 
 def most_different(total: int, percent: int) -> int:
@@ -116,74 +117,101 @@ def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out).astype(np.int64) if out else np.empty(0, np.int64)
 
 
-def _texts(docs: DataFrame, text_col: str, *more) -> DataFrame:
-    return docs.select(*more, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+def described(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(x, _id, t, n, k1, k2, sigs): each row's number, its text's hash, and its set's size, class and signatures.
 
-
-def classes(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(_id, n, c): n-grams of each document, and the class of documents of the same set."""
+    Only the first row of a class in each partition has signatures, so copies
+    are left out before anything is shuffled.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
+        words, seen = Words(), set()
         for batch in batches:
-            sets = [shingles(t, size, words) for t in batch["_text"]]
-            yield pd.DataFrame({"_id": batch["_id"], "n": [len(s) for s in sets], "c": [class_key(s) for s in sets]})
+            rows, held = [], 0
+            for i, t, text in zip(batch["_id"], batch["t"], batch["_text"]):
+                own = shingles(text, size, words)
+                key = class_key(own)
+                sigs = None
+                if len(own) and key not in seen:
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(key)
+                    sigs = signatures(own, percent)
+                    held += len(sigs)
+                rows.append((i, t, len(own), *key, sigs))
+                if held > 200_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
+    names = ["_id", "t", "n", "k1", "k2", "sigs"]
     kind = docs.schema[id_col].dataType.simpleString()
-    return _texts(docs, text_col, F.col(id_col).alias("_id")).mapInPandas(run, f"_id {kind}, n long, c long")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("t"), text.alias("_text"))
+    return own.mapInPandas(run, f"_id {kind}, t long, n long, k1 long, k2 long, sigs array<long>").withColumn("x", F.monotonically_increasing_id())
 
 
-def blocks(docs: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
-    """(block, c, n): classes that agree on a fragment; blocks of the same members are one."""
+def classes(rows: DataFrame) -> DataFrame:
+    """(x, _id, t, n, c): rows (as described) with their class, which is named by its least row."""
+    firsts = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("x").alias("c"))
+    return rows.drop("sigs").join(firsts, ["k1", "k2"], "left").drop("k1", "k2")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
-        for batch in batches:
-            sigs, cs, ns, held = [], [], [], 0
-            for text in batch["_text"]:
-                own = shingles(text, size, words)
-                s = signatures(own, percent) if len(own) else NO_SIGNATURES
-                if len(s):
-                    sigs.append(s)
-                    cs.append(np.full(len(s), class_key(own), np.int64))
-                    ns.append(np.full(len(s), len(own), np.int64))
-                    held += len(s)
-                if held > 200_000:
-                    yield pd.DataFrame({"sig": np.concatenate(sigs), "c": np.concatenate(cs), "n": np.concatenate(ns)})
-                    sigs, cs, ns, held = [], [], [], 0
-            if sigs:
-                yield pd.DataFrame({"sig": np.concatenate(sigs), "c": np.concatenate(cs), "n": np.concatenate(ns)})
 
-    rows = _texts(docs, text_col).mapInPandas(run, "sig long, c long, n long").distinct()
-    of = Window.partitionBy("sig")
-    rows = rows.withColumns({"m": F.count(F.lit(1)).over(of), "block": F.sum(F.xxhash64("c").cast("decimal(20,0)")).over(of)})
-    return rows.filter("m > 1").select(F.xxhash64("block", "m").alias("block"), "c", "n").distinct()
+def blocks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(block, c, n): classes that agree on a fragment; blocks of the same members are one.
+
+    Signatures are counted first (combined before the shuffle), then joined to
+    the rows that have them; the join's side of rows can be split, however many
+    rows share a signature.
+    """
+    sigs = rows.filter("sigs IS NOT NULL").select("x", F.explode("sigs").alias("sig"))
+    met = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("sig")
+    held = sigs.join(met.hint("shuffle_hash"), "sig").join(nodes.select("x", "c", "n"), "x").select("sig", "c", "n").distinct()
+    held = write_shared(held, "signatures")
+    of = held.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("of")).filter("m > 1")
+    of = of.select("sig", F.xxhash64("of", "m").alias("block"))
+    out = write_shared(held.join(of, "sig").select("block", "c", "n").distinct(), "blocks")
+    drop_shared(held)
+    return out
 
 
 def fragments(docs: DataFrame, wanted: DataFrame, size: int, text_col: str) -> DataFrame:
-    """(c, part, grams): the n-grams of the wanted classes (c), cut into PARTS."""
-    bucket = F.pmod("c", F.lit(BITMAP)).cast("int")
-    bits = np.zeros(BITMAP, bool)
-    bits[[r[0] for r in wanted.select(bucket).distinct().collect()]] = True  # BITMAP rows at most
-    bitmap = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    """(c, part, grams): the n-grams of the wanted classes (c, t, k1, k2), cut into PARTS.
+
+    A bitmap of text hashes, of fixed size, tells which texts needn't be read
+    again; once in each partition the others are cut, so copies take part once.
+    """
+    place = F.pmod("t", F.lit(BITMAP))
+    bits = wanted.groupBy(F.floor(place / 32).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 32).cast("int"))).alias("bits"))
+    bitmap = np.zeros(BITMAP // 32, np.uint32)
+    for row in bits.collect():  # BITMAP / 32 rows at most
+        bitmap[row["word"]] = row["bits"]
+    held = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, keep = Words(), np.unpackbits(bitmap.value)
+        words, seen, keep = Words(), set(), held.value
         for batch in batches:
             rows = []
-            for text in batch["_text"]:
-                own = shingles(text, size, words)
-                if len(own) and keep[(c := class_key(own)) % BITMAP]:
-                    cuts = np.searchsorted(own, (np.arange(1, PARTS, dtype=np.uint64) << np.uint64(61)))
-                    rows.extend((c, i, part.astype(np.int64)) for i, part in enumerate(np.split(own, cuts)) if len(part))
+            at = batch["t"].to_numpy() % BITMAP
+            for i in np.flatnonzero(keep[at // 32] >> (at % 32).astype(np.uint32) & 1):
+                own = shingles(batch["_text"].iat[i], size, words)
+                key = class_key(own)
+                if not len(own) or key in seen:
+                    continue
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(key)
+                cuts = np.searchsorted(own, (np.arange(1, PARTS, dtype=np.uint64) << np.uint64(61)))
+                rows.extend((*key, k, part.astype(np.int64)) for k, part in enumerate(np.split(own, cuts)) if len(part))
                 if len(rows) > 2_000:
-                    yield pd.DataFrame(rows, columns=["c", "part", "grams"])
+                    yield pd.DataFrame(rows, columns=["k1", "k2", "part", "grams"])
                     rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=["c", "part", "grams"])
+                yield pd.DataFrame(rows, columns=["k1", "k2", "part", "grams"])
 
-    rows = _texts(docs, text_col).mapInPandas(run, "c long, part int, grams array<long>")
-    rows = rows.join(wanted.select("c").distinct(), "c", "left_semi")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.xxhash64(text).alias("t"), text.alias("_text")).mapInPandas(run, "k1 long, k2 long, part int, grams array<long>")
+    rows = rows.join(wanted.select("c", "k1", "k2"), ["k1", "k2"])
     return rows.groupBy("c", "part").agg(F.first("grams").alias("grams"))
 
 
@@ -219,14 +247,16 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = got
     labels = now.select(F.col("u").alias("c"), F.col("v").alias("label"))
-    return labels.unionAll(now.select(F.col("v").alias("c"), F.col("v").alias("label")).distinct())
+    out = write_shared(labels.unionAll(now.select(F.col("v").alias("c"), F.col("v").alias("label")).distinct()), "labels")
+    drop_shared(now)
+    return out
 
 
 def open_pairs(members: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     """(a, na, b, nb): the pairs of a leader's members that may link and aren't in one component.
 
-    members: (lead, x, n, e, m, label, at_lead) with e = n-grams that x has and
-    the leader lacks, m = those that it lacks.  A and B differ in
+    members: (lead, x, n, e, m, label, at_lead) of blocks with such pairs, with e =
+    n-grams that x has and the leader lacks, m = those that it lacks.  A and B differ in
     |Ea ^ Eb| + |Ma ^ Mb| n-grams, which must be d at most; so they share at least
     (ea + eb + |ma - mb| - d) / 2 of what they have beyond the leader.  Pairs for
     which that isn't positive are found by the numbers alone, the others by what
@@ -238,59 +268,64 @@ def open_pairs(members: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     d = (100 - percent) * (F.col("na") + F.col("nb")) / (100 + percent)
     need = F.col("ea") + F.col("eb") + F.abs(F.col("ma") - F.col("mb")) - d
     similar = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    # first by the numbers: A and B differ in |ea - eb| + |ma - mb| n-grams at least
-    outer = members.filter(~F.col("at_lead"))
+    outer = members.filter(~F.col("at_lead")).drop("at_lead")
+    others = members.drop("at_lead")
+    # a leader's members have few different numbers, however many they are
     profiles = members.groupBy(*numbers).agg(F.count(F.lit(1)).alias("k"))
-    close = F.abs(F.col("ea") - F.col("eb")) + F.abs(F.col("ma") - F.col("mb")) <= d
     itself = (F.col("na") == F.col("nb")) & (F.col("ea") == F.col("eb")) & (F.col("ma") == F.col("mb")) & (F.col("kb") == 1)
-    met = side(outer.select(*numbers).distinct(), "a").join(side(profiles, "b"), "lead").filter(similar & close & ~itself)
-    met = write_shared(met.drop("kb"), "profiles")
-    kept = lambda df, k: df.join(met.select("lead", *[F.col(f"{c}{k}").alias(c) for c in numbers[1:]]).distinct(), numbers, "left_semi")
-    ours = kept(outer, "a").select(*numbers, "x", "label")
-    others = kept(members, "b").select(*numbers, "x", "label")
+    met = side(outer.select(*numbers).distinct(), "a").join(side(profiles, "b"), "lead").filter(similar & (need <= 0) & ~itself).drop("kb")
     columns = ["xa", "na", "xb", "nb"]
-    by_number = side(ours, "a").join(met.filter(need <= 0), ["lead", "na", "ea", "ma"]).join(side(others, "b"), ["lead", "nb", "eb", "mb"]).filter("labela != labelb").select(*columns)
-    both = ours.unionAll(others).distinct()
-    own = both.select("lead", "x").join(grams.select(F.col("c").alias("x"), "part", "grams"), "x")
+    by_number = side(outer, "a").join(met, ["lead", "na", "ea", "ma"]).join(side(others, "b"), ["lead", "nb", "eb", "mb"]).filter("labela != labelb").select(*columns)
+    own = members.select("lead", "x").join(grams.select(F.col("c").alias("x"), "part", "grams"), "x")
     theirs = grams.select(F.col("c").alias("lead"), "part", F.col("grams").alias("led"))
     extra = own.join(theirs, ["lead", "part"], "left").select("lead", "x", F.explode(F.array_except("grams", F.coalesce("led", F.array().cast("array<long>")))).alias("gram"))
     extra = write_shared(extra, "extra")
     alike = extra.groupBy("lead", "gram").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("of")).filter("k > 1")
     alike = alike.withColumn("of", F.xxhash64("of", "k"))
     sets = extra.join(alike.select("lead", "gram", "of"), ["lead", "gram"]).groupBy("lead", "of", "x").agg(F.count(F.lit(1)).alias("w"))
-    sets = write_shared(sets, "shared")
-    sums = sets.groupBy("lead", "x").agg(F.sum("w").alias("s"))
-    sets = sets.join(sums, ["lead", "x"])
-    left, right = side(sets.join(ours, ["lead", "x"]).withColumnRenamed("of", "lead_of"), "a"), side(sets.join(others, ["lead", "x"]).withColumnRenamed("of", "lead_of"), "b")
+    kept = write_shared(sets, "shared")
+    sums = kept.groupBy("lead", "x").agg(F.sum("w").alias("s"))
+    sets = kept.join(sums, ["lead", "x"])
+    left, right = side(sets.join(outer, ["lead", "x"]).withColumnRenamed("of", "lead_of"), "a"), side(sets.join(others, ["lead", "x"]).withColumnRenamed("of", "lead_of"), "b")
     # they can share no more than what each has in common with anyone
     may = similar & (F.col("labela") != F.col("labelb")) & (need <= 2 * F.least("sa", "sb"))
     shared = left.join(right, (left["lead"] == right["lead"]) & (F.col("lead_ofa") == F.col("lead_ofb")) & may).drop(right["lead"])
     by_share = shared.groupBy("lead", *columns, "ea", "eb", "ma", "mb").agg(F.sum("wa").alias("shared")).filter(need <= 2 * F.col("shared")).select(*columns)
     pairs = by_number.unionAll(by_share).filter(similar).select(F.col("xa").alias("a"), "na", F.col("xb").alias("b"), "nb")
     low = F.col("a") < F.col("b")
-    return pairs.select(F.least("a", "b").alias("a"), F.when(low, F.col("na")).otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"), F.when(low, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+    out = pairs.select(F.least("a", "b").alias("a"), F.when(low, F.col("na")).otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"), F.when(low, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+    out = write_shared(out, "pairs")
+    drop_shared(extra, kept)
+    return out
 
 
-def links(docs: DataFrame, *, size: int = 4, percent: int = 85, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between classes whose components are those of all links, and (c, label) of linked classes."""
-    held = write_shared(blocks(docs, size, percent, text_col), "blocks")
+def links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, *, size: int = 4, percent: int = 85, text_col: str = "text") -> DataFrame:
+    """(c, label): the least class reachable by links, for each class (of rows and nodes, as described) that has one."""
+    held = blocks(rows, nodes)
     sized = held.groupBy("block").agg(F.count(F.lit(1)).alias("members"))
     central = held.join(sized, "block").groupBy("c").agg(F.sum("members").alias("central"))
-    held = write_shared(held.join(central, "c"), "members")
-    grams = write_shared(fragments(docs, held, size, text_col), "fragments")
-    lead = held.groupBy("block").agg(F.max(F.struct("central", "n", F.col("c").alias("a"))).alias("l")).select("block", F.col("l.a").alias("a"), F.col("l.n").alias("na"))
-    stars = held.join(lead, "block").filter("a != c").select("a", "na", F.col("c").alias("b"), F.col("n").alias("nb")).distinct()
-    tested = write_shared(overlaps(write_shared(stars, "pairs"), grams, percent), "tested")
-    near = write_shared(components(tested.filter("linked")), "labels")
+    wanted = rows.select("t", "k1", "k2", F.col("x").alias("c")).join(central.select("c"), "c", "left_semi")
+    grams = write_shared(fragments(docs, wanted, size, text_col), "fragments")
+    lead = held.join(central, "c").groupBy("block").agg(F.max(F.struct("central", "n", F.col("c").alias("a"))).alias("l")).select("block", F.col("l.a").alias("a"), F.col("l.n").alias("na"))
+    members = write_shared(held.join(lead, "block").filter("a != c").select("block", "a", "na", F.col("c").alias("b"), F.col("n").alias("nb")), "members")
+    drop_shared(held)
+    tested = write_shared(overlaps(members.drop("block").distinct(), grams, percent), "tested")
+    near = components(tested.filter("linked"))
     label = lambda df, c, out: df.join(near.select(F.col("c").alias(c), F.col("label").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
-    members = tested.select(F.col("a").alias("lead"), F.col("b").alias("x"), F.col("nb").alias("n"), (F.col("nb") - F.col("common")).alias("e"), (F.col("na") - F.col("common")).alias("m"))
-    itself = tested.select(F.col("a").alias("lead"), F.col("a").alias("x"), F.col("na").alias("n"), F.lit(0).cast("long").alias("e"), F.lit(0).cast("long").alias("m")).distinct()
-    members = label(label(members.unionAll(itself), "x", "label"), "lead", "llead").withColumn("at_lead", F.col("label") == F.col("llead")).drop("llead")
-    members = write_shared(members, "stars")
-    rest = write_shared(open_pairs(members, grams, percent), "pairs")
+    # pairs are left in blocks that have two members or more beside the leader, not all in one component
+    inside = label(label(members, "b", "labelb"), "a", "labela")
+    left = inside.groupBy("block").agg(F.min("labelb").alias("least"), F.max("labelb").alias("most")).filter("least != most").select("block")
+    inside = inside.join(left, "block").select("a", "b", F.col("labelb").alias("label"), (F.col("labela") == F.col("labelb")).alias("at_lead")).distinct()
+    numbers = tested.select("a", "b", F.col("nb").alias("n"), (F.col("nb") - F.col("common")).alias("e"), (F.col("na") - F.col("common")).alias("m"))
+    stars = write_shared(inside.join(numbers, ["a", "b"]).withColumnsRenamed({"a": "lead", "b": "x"}), "stars")
+    drop_shared(members, near)
+    rest = open_pairs(stars, grams, percent)
     found = tested.select("a", "b", "linked").unionAll(overlaps(rest, grams, percent).select("a", "b", "linked")).filter("linked").select("a", "b")
     found = write_shared(found, "links")
-    return found, write_shared(components(found), "labels")
+    drop_shared(stars, rest, grams, tested)
+    out = components(found)
+    drop_shared(found)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,11 +337,13 @@ def near_duplicates(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col
     repeat get equal results; an empty table gives an empty one; other columns
     are not read.
     """
-    own = write_shared(classes(docs, size, id_col, text_col), "classes")
-    _, labels = links(docs, size=size, percent=percent, text_col=text_col)
-    firsts = own.filter("n > 0").groupBy("c").agg(F.min("_id").alias("first"))
+    rows = write_shared(described(docs, size, percent, id_col, text_col), "described")
+    nodes = write_shared(classes(rows), "classes")
+    labels = links(docs, nodes, rows, size=size, percent=percent, text_col=text_col)
+    drop_shared(rows)
+    firsts = nodes.filter("n > 0").groupBy("c").agg(F.min("_id").alias("first"))
     labelled = firsts.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = labelled.groupBy("label").agg(F.min("first").alias("least"))
     of_class = labelled.join(least, "label").select("c", "least")
-    out = own.join(of_class, "c", "left")
+    out = nodes.join(of_class, "c", "left")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "_id")).otherwise(F.col("_id")).alias("component_id"))
