@@ -99,9 +99,14 @@ def meetings(n: int, percent: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of the set's fragments in all size classes; none if only an equal set can be similar."""
-    n, out = len(hashes), []
+def signatures(hashes: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Signatures of the set's fragments in all size classes; none if only an equal set can be similar.
+
+    The lowest two bits of a signature tell its size class from the set's
+    others.  Second come the numbers of signatures that any similar set shares
+    with this one at least, in one byte for each value of those bits.
+    """
+    n, out, least = len(hashes), [], 0
     mixed = _mix(hashes ^ np.uint64(0x9E3779B97F4A7C15))
     for number, k, d in meetings(n, percent):
         if d == 0:
@@ -109,16 +114,19 @@ def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
         fragment = ((hashes >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate(([True], fragment[1:] != fragment[:-1])))
         own = fragment[first]
-        label = own + np.uint64(number << 40)
-        out.append(_mix(np.add.reduceat(mixed, first) ^ _mix(label)))
-        if k - (k - len(own)) - 1 < d:  # so many empty fragments that only these may agree
+        shared = len(own) - d
+        made = [_mix(np.add.reduceat(mixed, first) ^ _mix(own + np.uint64(number << 40)))]
+        if shared < 1:  # so many empty fragments that only these may agree
+            shared = k - d
             empty = np.setdiff1d(np.arange(k, dtype=np.uint64), own)
-            out.append(_mix(_mix(empty + np.uint64(number << 40)) ^ np.uint64(1)))
-    return np.concatenate(out).astype(np.int64) if out else np.empty(0, np.int64)
+            made.append(_mix(_mix(empty + np.uint64(number << 40)) ^ np.uint64(1)))
+        out += [m & ~np.uint64(3) | np.uint64(number % 4) for m in made]
+        least |= min(shared, 255) << 8 * (number % 4)
+    return (np.concatenate(out).astype(np.int64) if out else np.empty(0, np.int64)), int(np.uint32(least).astype(np.int32))
 
 
 def described(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(x, _id, t, n, k1, k2, sigs): each row's number, its text's hash, and its set's size, class and signatures.
+    """(x, _id, t, n, k1, k2, sigs, need): each row's number, its text's hash, and its set's size, class and signatures.
 
     Only the first row of a class in each partition has signatures, so copies
     are left out before anything is shuffled.
@@ -131,28 +139,28 @@ def described(docs: DataFrame, size: int, percent: int, id_col: str, text_col: s
             for i, t, text in zip(batch["_id"], batch["t"], batch["_text"]):
                 own = shingles(text, size, words)
                 key = class_key(own)
-                sigs = None
+                sigs, need = None, 0
                 if len(own) and key not in seen:
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(key)
-                    sigs = signatures(own, percent)
+                    sigs, need = signatures(own, percent)
                     held += len(sigs)
-                rows.append((i, t, len(own), *key, sigs))
+                rows.append((i, t, len(own), *key, sigs, need))
                 if held > 200_000:
                     yield pd.DataFrame(rows, columns=names)
                     rows, held = [], 0
             yield pd.DataFrame(rows, columns=names)
 
-    names = ["_id", "t", "n", "k1", "k2", "sigs"]
+    names = ["_id", "t", "n", "k1", "k2", "sigs", "need"]
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("t"), text.alias("_text"))
-    return own.mapInPandas(run, f"_id {kind}, t long, n long, k1 long, k2 long, sigs array<long>").withColumn("x", F.monotonically_increasing_id())
+    return own.mapInPandas(run, f"_id {kind}, t long, n long, k1 long, k2 long, sigs array<long>, need int").withColumn("x", F.monotonically_increasing_id())
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """(x, _id, t, n, c): rows (as described) with their class, which is named by its least row."""
+    """(x, _id, t, n, need, c): rows (as described) with their class, which is named by its least row."""
     firsts = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("x").alias("c"))
     return rows.drop("sigs").join(firsts, ["k1", "k2"], "left").drop("k1", "k2")
 
@@ -166,12 +174,17 @@ def blocks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     sigs = rows.filter("sigs IS NOT NULL").select("x", F.explode("sigs").alias("sig"))
     met = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("sig")
-    held = sigs.join(met.hint("shuffle_hash"), "sig").join(nodes.select("x", "c", "n"), "x").select("sig", "c", "n").distinct()
-    held = write_shared(held, "signatures")
+    found = sigs.join(met.hint("shuffle_hash"), "sig").join(nodes.select("x", "c", "n", "need"), "x").select("sig", "c", "n", "need").distinct()
+    found = write_shared(found.withColumn("w", F.col("sig").bitwiseAND(F.lit(3))), "signatures")
+    # a class stays if it shares as many signatures as it must share with any similar one
+    met = found.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("sig")
+    enough = found.join(met, "sig").groupBy("c", "need", "w").agg(F.count(F.lit(1)).alias("k"))
+    enough = enough.filter(F.expr("k >= (shiftright(need, cast(8 * w as int)) & 255)")).select("c", "w")
+    held = write_shared(found.join(enough, ["c", "w"], "left_semi").select("sig", "c", "n"), "signatures")
     of = held.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("of")).filter("m > 1")
     of = of.select("sig", F.xxhash64("of", "m").alias("block"))
     out = write_shared(held.join(of, "sig").select("block", "c", "n").distinct(), "blocks")
-    drop_shared(held)
+    drop_shared(found, held)
     return out
 
 

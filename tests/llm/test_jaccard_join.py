@@ -47,7 +47,11 @@ def test_similar_sets_share_a_signature(seed):
         if 15 * (2 * len(a) - drop + add) < 185 * (drop + add):
             continue
         b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 2**64, add, dtype=np.uint64)]))
-        assert np.array_equal(a, b) or np.intersect1d(signatures(a, 85), signatures(b, 85)).size, (len(a), drop, add)
+        (sa, na), (sb, nb) = signatures(a, 85), signatures(b, 85)
+        shared = np.bincount(np.intersect1d(sa, sb) & 3, minlength=4)
+        least = [[n >> 8 * w & 255 for w in range(4)] for n in (na, nb)]
+        # in a size class where both are, they share as many as each must share
+        assert np.array_equal(a, b) or any(x and y and s >= max(x, y) for x, y, s in zip(*least, shared)), (len(a), drop, add)
 
 
 def test_meetings_cover_all_sizes():
