@@ -29,7 +29,12 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose calibrated toxicity is below 0.7."""
+    """Documents whose calibrated toxicity is below 0.7.
+
+    Null and empty texts count as clean; repeated rows stay or go together;
+    columns beyond those of documents go; an empty table stays empty, and without
+    labels of both classes all documents stay.
+    """
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     # score() carries the columns along, so no join brings the texts together again
     return score(docs, model, keep=tuple(COLUMNS)).filter("_score < 0.7").select(*COLUMNS)
@@ -49,20 +54,34 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of fewer than two benchmark items; other rows of a dropped one's id stay."""
+    """Documents without any window of a benchmark item; clean rows of a dropped one's id stay.
+
+    One item is enough: a document that holds a passage of a single item leaks it.
+    Null and empty texts hold none; of no row that stays anything changes, repeated
+    rows stay or go together; an empty table stays empty.
+    """
     own = with_key(docs)
     found = contamination(own, table(spark, sf_dir, "benchmark"), id_col="_key")
-    bad = found.filter(F.size("items") >= 2).select("_key").distinct()
+    bad = found.filter(F.size("items") > 0).select("_key").distinct()
     return own.join(bad, "_key", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each whole copy that the mix takes, in order of training."""
+    """A row for each whole copy that the mix takes, in order of training.
+
+    Documents without words (null, empty) are taken by no mix; a null source is a
+    source of its own, the last; each of several equal rows is a document; an empty
+    table stays empty.
+    """
     return training_order(mix(docs), COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with shard and slot: 7 hash shards resharded into 8 of equal bytes."""
+    """Documents with shard and slot: 7 hash shards resharded into 8 of equal bytes.
+
+    Null and empty texts weigh one byte; equal rows get a slot each; an empty table
+    stays empty.
+    """
     placed, _ = reshard(docs, 8, n_old=7)
     return placed.select(*COLUMNS, "shard", "slot")
 
