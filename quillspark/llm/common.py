@@ -61,5 +61,12 @@ def drop_shared(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send whole texts to Python 8 MB at a time, so that a worker's memory doesn't depend on their length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) not in range(1, (8 << 20) + 1):
+        spark.conf.set(key, str(8 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

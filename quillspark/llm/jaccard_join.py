@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import drop_shared, write_shared
+from quillspark.llm.common import drop_shared, small_batches, write_shared
 
 #: Vertical fragments in which overlaps are counted.
 PARTS = 8
@@ -36,7 +36,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -350,6 +350,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col
     repeat get equal results; an empty table gives an empty one; other columns
     are not read.
     """
+    small_batches(docs.sparkSession)
     rows = write_shared(described(docs, size, percent, id_col, text_col), "described")
     nodes = write_shared(classes(rows), "classes")
     labels = links(docs, nodes, rows, size=size, percent=percent, text_col=text_col)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import write_shared
+from quillspark.llm.common import small_batches, write_shared
 
 #: Bits of a descriptor, bands that it is cut into, and half the side of a patch.
 BITS, BANDS, RADIUS = 128, 4, 12
@@ -165,6 +165,7 @@ def keypoints(image: np.ndarray, levels: int = 3) -> list[tuple[float, float, fl
 
 def index(images: DataFrame, id_col: str, data_col: str, read=decode) -> DataFrame:
     """(id, c, size, points): the class of each image's pixels, how many, and its keypoints."""
+    small_batches(images.sparkSession)
     kind = images.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import small_batches
+
 #: Characters between a splice and either cut; added tokens must be shorter.
 MARGIN = 64
 #: Characters encoded by one call over short texts.
@@ -79,6 +81,7 @@ def token_counts(
     """
     with open(tokenizer_path, "rb") as file:
         blob = docs.sparkSession.sparkContext.broadcast(file.read())
+    small_batches(docs.sparkSession)
     pieces = tokenizer_path.endswith(".model")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

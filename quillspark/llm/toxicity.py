@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import write_shared
+from quillspark.llm.common import small_batches, write_shared
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are tokens too.
@@ -93,7 +93,7 @@ class Scorer:
         for w in set(words).difference(known):
             known[w] = weight(w)
         scores = [known[w] for w in words]
-        if len(known) > 500_000:
+        if len(known) > 250_000:
             known.clear()
         if not scores or max(scores) <= 0:
             return len(words), []
@@ -282,6 +282,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", keep
     rows that repeat are scored each; an empty table gives an empty one; columns
     outside ``keep`` are not read.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = list(keep)
     text_name = f"_c{names.index(text_col)}" if text_col in names else "_text"
