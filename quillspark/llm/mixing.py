@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a bucket on average; a bucket is sorted by one task.
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 Knots = list[tuple[float, float]]
@@ -155,7 +155,8 @@ def mix(
 
 
 def training_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """A row for each whole copy that the mix takes, range-sorted by position."""
+    """A row for each whole copy that the mix takes, range-sorted by position, ties by what the columns hold."""
     copies = F.slice("_positions", 1, F.greatest(F.col("_whole"), F.lit(0)))
     rows = mixed.select(*columns, F.explode(copies).alias("_position"))
-    return rows.repartitionByRange("_position").sortWithinPartitions("_position").drop("_position")
+    rows = rows.withColumn("_tie", F.xxhash64(*columns))
+    return rows.repartitionByRange("_position", "_tie").sortWithinPartitions("_position", "_tie").drop("_position", "_tie")

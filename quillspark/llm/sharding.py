@@ -3,13 +3,14 @@
 Rows lie in old shards.  A flow from old shard sizes to new capacities that
 moves the fewest bytes says how much each old shard sends to each new one; it
 is carried out in blocks (hash ranges of a shard), and only shards that send or
-receive a block need new files.  Rows of equal text share a block, except where
-a group holds over half a shard's capacity; such groups are dealt out by id.
+receive a block need new files.  Rows of equal text share a block; only a group
+that no shard has room for is dealt out by id.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from bisect import bisect_left, insort
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 #: Blocks of an old shard at least, rows of a block aimed at, and blocks at most.
 #: The driver gets a row for each block, so MAX_BLOCKS bounds what it holds and broadcasts.
 BLOCKS_PER_SHARD, ROWS_PER_BLOCK, MAX_BLOCKS = 1024, 100_000, 1 << 20
+#: A block of over so many times the mean rows is numbered in parts, each by a task of its own.
+UNEVEN = 4
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -60,11 +63,12 @@ def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -
 
 @dataclass
 class Plan:
-    """Where each block goes: block -> (new shard, first slot); and the bytes moved."""
+    """Where each block goes: block -> (new shard, first slot); the bytes moved; shards to be rewritten, and those of them left empty."""
 
     places: dict[int, tuple[int, int]]
     moved_bytes: int
     affected: list[int]
+    emptied: list[int] = field(default_factory=list)
 
 
 def assign_blocks(blocks: list[tuple[int, int, int, int]], capacities: list[int]) -> Plan:
@@ -104,14 +108,16 @@ def assign_blocks(blocks: list[tuple[int, int, int, int]], capacities: list[int]
     for _ in range(4 * len(blocks) if m > 1 else 0):
         a, b = max(range(m), key=over), min(range(m), key=over)
         gap = over(a) - over(b)
-        fits = [x for x in held[a] if 0 < x[0] < gap]
+        # of the blocks smaller than the gap, that nearest to half of it
+        i = bisect_left(held[a], (gap / 2,))
+        fits = [x for x in held[a][max(0, i - 1) : i + 1] if 0 < x[0] < gap]
         if not fits:
             break
         size, block = min(fits, key=lambda x: (abs(gap / 2 - x[0]), x[1]))
         if max(abs(over(a) - size), abs(over(b) + size)) >= max(abs(over(a)), abs(over(b))):
             break
-        held[a].remove((size, block))
-        held[b].append((size, block))
+        del held[a][bisect_left(held[a], (size, block))]
+        insort(held[b], (size, block))
         load[a] -= size
         load[b] += size
         to[block] = b
@@ -123,7 +129,7 @@ def assign_blocks(blocks: list[tuple[int, int, int, int]], capacities: list[int]
         if j != old:
             moved += size
             touched |= {j, old}
-    return Plan(places, moved, sorted(touched))
+    return Plan(places, moved, sorted(touched), sorted(j for j in touched if j >= m or not slots[j]))
 
 
 def even_capacities(total: int, n: int) -> list[int]:
@@ -151,13 +157,13 @@ def reshard(
     A row weighs its text's UTF-8 bytes (null: none) plus 1, and new shards get
     equal capacities.  ``old_shard`` is where rows lie now, 0 to ``n_old`` - 1; by
     default the text's hash says.  Equal texts (null equals empty) stay together
-    unless they hold over half a shard; repeated rows get a slot each; an empty
+    unless they are more than a shard holds; repeated rows get a slot each; an empty
     table gives an empty one.  Columns shard, slot and those of the operator's own
     names (each begins with an underscore) are replaced.  ``is_measured``: docs
     come from ``measured`` and need no text.
     """
     spark = docs.sparkSession
-    docs = docs.drop("shard", "slot", "_old", "_block", "_b", "_first")
+    docs = docs.drop("shard", "slot", "_old", "_block", "_part", "_parts", "_b", "_p", "_first")
     own = docs if is_measured else measured(docs, text_col=text_col)
     own = own.withColumn("_old", (old_shard if old_shard is not None else F.pmod("_hash", F.lit(n_old))).cast("int"))
     rows = docs.select(F.lit(1)).count()
@@ -167,22 +173,49 @@ def reshard(
     count = lambda df: df.groupBy("_block", "_old").agg(F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
     blocks = count(own)
     total = sum(b["bytes"] for b in blocks)
-    half = total / n_new / 2
-    if heavy := [b["_block"] for b in blocks if b["bytes"] > half]:  # fewer than 2 * n_new
-        groups = own.filter(F.col("_block").isin(heavy)).groupBy("_hash").agg(F.sum("_size").alias("bytes")).filter(F.col("bytes") > half)
-        if hot := [r["_hash"] for r in groups.collect()]:  # fewer than 2 * n_new
+    room = total / n_new
+    if heavy := [b["_block"] for b in blocks if b["bytes"] > room]:  # fewer than n_new
+        groups = own.filter(F.col("_block").isin(heavy)).groupBy("_hash").agg(F.sum("_size").alias("bytes")).filter(F.col("bytes") > room)
+        if hot := [r["_hash"] for r in groups.collect()]:  # fewer than n_new
             salted = F.when(F.col("_hash").isin(hot), block(F.xxhash64(F.lit(1), F.col(id_col)))).otherwise(F.col("_block"))
             own = own.withColumn("_block", salted)
             blocks = count(own)
     plan = assign_blocks([(b["_block"], b["_old"], b["bytes"], b["rows"]) for b in blocks], even_capacities(total, n_new))
-    places = spark.createDataFrame([(k, *v) for k, v in plan.places.items()], "_b long, shard int, _first long")
-    placed = own.join(F.broadcast(places), F.col("_block") == F.col("_b"))  # MAX_BLOCKS rows at most
-    order = Window.partitionBy("_block").orderBy("_hash", id_col)
+    # blocks far above the mean are numbered in parts; the parts of all are no more than the blocks
+    mean = max(100.0, rows / max(1, len(blocks)))
+    parts = {b["_block"]: int(b["rows"] / mean) for b in blocks if b["rows"] > UNEVEN * mean}
+    firsts = {(k, 0): v for k, v in plan.places.items()}
+    own = own.withColumn("_part", F.lit(0))
+    if parts:
+        by_part = spark.createDataFrame(list(parts.items()), "_b long, _parts int")
+        own = own.join(F.broadcast(by_part), F.col("_block") == F.col("_b"), "left").drop("_b")
+        own = own.withColumn("_part", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), "_parts")).otherwise(0).cast("int"))
+        sizes = {(r["_block"], r["_part"]): r["n"] for r in own.filter("_parts IS NOT NULL").groupBy("_block", "_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+        for k, n in parts.items():
+            shard, first = plan.places[k]
+            for i in range(n):
+                firsts[k, i] = (shard, first)
+                first += sizes.get((k, i), 0)
+        own = own.drop("_parts")
+    places = spark.createDataFrame([(*k, *v) for k, v in firsts.items()], "_b long, _p int, shard int, _first long")
+    placed = own.join(F.broadcast(places), (F.col("_block") == F.col("_b")) & (F.col("_part") == F.col("_p")))  # 2 * MAX_BLOCKS rows at most
+    order = Window.partitionBy("_block", "_part").orderBy("_hash", id_col)
     placed = placed.withColumn("slot", F.col("_first") + F.row_number().over(order) - 1)
-    return placed.drop("_hash", "_old", "_block", "_b", "_first"), plan
+    return placed.drop("_hash", "_old", "_block", "_part", "_b", "_p", "_first"), plan
 
 
 def rewrite_affected(placed: DataFrame, plan: Plan, folder: str) -> None:
-    """Write the shards that sent or received blocks as folder/shard=N; others keep their files."""
-    changed = placed.filter(F.col("shard").isin(plan.affected)) if plan.affected else placed.limit(0)
-    changed.write.mode("append").partitionBy("shard").parquet(folder)
+    """Replace the shards that sent or received blocks in folder (shard=N/...); others keep their files.
+
+    Only the affected shards' folders are replaced (a dynamic partition
+    overwrite), and those of shards left empty are deleted; ``placed`` may have
+    been read from the folder itself.
+    """
+    if not plan.affected:
+        return
+    changed = placed.filter(F.col("shard").isin(plan.affected))
+    changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
+    spark = placed.sparkSession
+    for shard in plan.emptied:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/shard={shard}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm.sharding import assign_blocks, even_capacities, min_cost_flow, reshard, rewrite_affected
 
@@ -61,9 +62,30 @@ def test_reshard(spark, tmp_path):
     assert all(len(s) == 1 for s in shards.values())
     key = lambda r: (str(r["doc_id"]), r["text"] or "", r["shard"])
     assert sorted(map(key, got)) == sorted(map(key, reshard(docs.repartition(2), 8, n_old=7)[0].collect()))
-    rewrite_affected(placed, plan, str(tmp_path / "out"))
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(r[0] for r in back.select("shard").distinct().collect()) == [j for j in plan.affected if load[j]]
+
+
+def test_rewrite_replaces_the_old_shards(spark, tmp_path):
+    rng = random.Random(5)
+    folder = str(tmp_path / "shards")
+    rows = [(i, f"text {i} " * rng.randrange(1, 20), i % 9 if i % 9 < 6 else 5) for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string, shard int").write.partitionBy("shard").parquet(folder)
+    for n_new in (8, 8, 3):
+        old = spark.read.parquet(folder)
+        untouched = defaultdict(set)
+        for r in old.select("shard", F.input_file_name().alias("f")).collect():
+            untouched[r["shard"]].add(r["f"])
+        own = old.withColumn("_was", F.col("shard"))
+        placed, plan = reshard(own, n_new, n_old=max(untouched) + 1, old_shard=F.col("_was"))
+        want = sorted((r["doc_id"], r["shard"], r["slot"]) for r in placed.collect())
+        rewrite_affected(placed.drop("_was", "_size"), plan, folder)
+        spark.catalog.refreshByPath(folder)
+        back = spark.read.parquet(folder)
+        got = back.select("doc_id", "shard", "text", F.input_file_name().alias("f")).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(r[:2] for r in rows)
+        assert sorted((r["doc_id"], r["shard"]) for r in got) == [w[:2] for w in want]
+        for j in set(range(n_new)) - set(plan.affected):
+            assert {r["f"] for r in got if r["shard"] == j} == untouched[j]
+        assert sorted({r["shard"] for r in got}) == list(range(n_new))
 
 
 def test_a_group_of_copies_larger_than_a_shard_is_split(spark):
@@ -73,6 +95,20 @@ def test_a_group_of_copies_larger_than_a_shard_is_split(spark):
     assert max(load.values()) - min(load.values()) <= 60
 
 
+def test_a_large_group_that_fits_stays_together(spark):
+    rows = [(i, "same text", "s") for i in range(900)] + [(5000 + i, f"text {i}", "s") for i in range(3100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = reshard(docs, 4, n_old=4)[0].collect()
+    load = check(rows, got, 4)
+    assert len({r["shard"] for r in got if r["text"] == "same text"}) == 1
+    assert max(load.values()) - min(load.values()) <= 60
+
+
+def test_a_very_long_text(spark):
+    rows = [(1, "é" * 3_000_000)] + [(i, f"text {i}") for i in range(2, 300)]
+    check(rows, reshard(spark.createDataFrame(rows, "doc_id long, text string"), 4, n_old=3)[0].collect(), 4)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert reshard(docs, 8, n_old=7)[0].count() == 0
