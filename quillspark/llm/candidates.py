@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Characters before and after a match that are kept for context features.
+#: Characters before and after a match that features of context look at; a window of features, not of the search.
 BEFORE, AFTER = 48, 16
 
 

@@ -31,10 +31,11 @@ BASE = [
     Generator("card", "card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9]"),
     Generator("phone", "phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+"),
 ]
+# No loop has an upper bound that could cut a span, except where the format itself has one.
 MORE = [
-    Generator("email", "spelled email", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}){1,6}", r"(?i)[(\[]at[)\]]"),
-    Generator("phone", "national phone", r"(?<![0-9+.-])(?:\([0-9]{2,5}\)[ .-]?|[0-9]{2,5}[ ./-])[0-9]{3,4}[ .-][0-9]{3,5}(?![0-9.-])", "[0-9]{3}"),
-    Generator("iban", "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}"),
+    Generator("email", "spelled email", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++", r"(?i)[(\[]at[)\]]"),
+    Generator("phone", "national phone", r"(?<![0-9+.-])(?:\([0-9]{2,5}\)[ .-]?|[0-9]{2,5}[ ./-])[0-9]{2,5}(?:[ .-][0-9]{2,5}(?![0-9]))++(?![.-]?[0-9])", "[0-9]{2}"),
+    Generator("iban", "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}"),
     Generator("ssn", "ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]"),
 ]
 GENERATORS = BASE + MORE
@@ -60,6 +61,18 @@ def luhn(number: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), add) % 10 == 0
 
 
+def mod97(account: Column) -> Column:
+    """Remainder of an account number's check (ISO 7064): the first four characters go to the end, letters count from 10."""
+    a = F.upper(F.regexp_replace(account, "[^A-Za-z0-9]", ""))
+    turned = F.concat(F.substring(a, 5, 1 << 30), F.left(a, F.lit(4)))
+
+    def add(rest: Column, c: Column) -> Column:
+        digit = c.between("0", "9")
+        return F.when(digit, rest * 10 + F.ascii(c) - 48).otherwise(rest * 100 + F.ascii(c) - 55) % 97
+
+    return F.aggregate(F.split(turned, "(?!^)(?!$)"), F.lit(0), add)
+
+
 def base_valid(g: Column, hit: Column) -> Column:
     """Is a match of a base generator (by its place in BASE) a finding?"""
     part = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
@@ -86,24 +99,35 @@ def features(spans: DataFrame) -> tuple[DataFrame, list[str]]:
         char_class(last),
         F.col("hit").rlike("^(?:000|666|9[0-9][0-9])-|-00-|-0000$").cast("int"),
         F.col("before").rlike(r"[#$€£=%/]\s?$").cast("int"),
+        F.when(F.col("g") == GENERATORS.index(MORE[2]), F.when(mod97(F.col("hit")) == 1, 2).otherwise(1)).otherwise(0),
+        F.least(F.size(F.split("hit", "[^0-9]+")), F.lit(9)).cast("int"),
+        F.col("hit").rlike(r"\. ").cast("int"),
     ]
     names = [f"f{i}" for i in range(len(made))]
     return spans.withColumns({n: c.cast("int") for n, c in zip(names, made)}), names
 
 
-def examples(n: int = 1500, seed: int = 11) -> list[tuple[int, str, int]]:
+def examples(n: int = 4000, seed: int = 11) -> list[tuple[int, str, int]]:
     """Labelled snippets (id, text, is the last span personal), made by rule: what people and programs write."""
     rng = random.Random(seed)
     num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(3, 9)))
+
+    def account(country: str, rest: str) -> str:
+        check = 98 - int("".join(str(int(c, 36)) for c in rest + country + "00")) % 97
+        return f"{country}{check:02d}{rest}"
+
+    fours = lambda x: " ".join(x[i : i + 4] for i in range(0, len(x), 4))
     real = [
         lambda: f"{word()}.{word()} (at) {word()}.com",
         lambda: f"{word()}[at]{word()}[dot]org",
         lambda: f"({rng.randrange(200, 999)}) {num(3)}-{num(4)}",
         lambda: f"{rng.randrange(200, 999)}-{num(3)}-{num(4)}",
         lambda: f"0{num(3)} {num(3)} {num(4)}",
-        lambda: f"DE{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(2)}",
-        lambda: f"FR{num(2)}{num(20)}",
+        lambda: f"0{num(2)} {num(3)} {num(4)} {num(4)}",
+        lambda: fours(account("DE", num(18))),
+        lambda: account("FR", num(20) + rng.choice("ABC") + num(2)),
+        lambda: account("GB", "".join(rng.choice("ABCDKLMNW") for _ in range(4)) + num(14)),
         lambda: f"{rng.randrange(100, 665)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}",
     ]
     false = [
@@ -115,6 +139,13 @@ def examples(n: int = 1500, seed: int = 11) -> list[tuple[int, str, int]]:
         lambda: f"111 1111-1111",
         lambda: f"AB{num(2)}{''.join(rng.choice('ABCDEFGH0123') for _ in range(12))}",
         lambda: f"{num(3)}-{num(3)}-{num(3)}",
+        lambda: f"{rng.choice(['DE', 'FR', 'GB', 'XK', 'PN'])}{num(2)}{''.join(rng.choice('0123456789ABCDEFGHKLMNPRST') for _ in range(rng.choice([12, 16, 18, 20])))}",
+        lambda: fours(f"{rng.choice(['DE', 'IT', 'QX'])}{num(2)}{num(18)}"),
+        lambda: " ".join(num(rng.choice([2, 3, 3, 4])) for _ in range(rng.randrange(3, 9))),
+        lambda: f"{rng.randrange(10, 32)}-{rng.randrange(10, 13)}-{num(4)}",
+        lambda: f"{num(2)}.{num(2)}.{num(4)}",
+        lambda: f"{word()} [at] {word()}. {num(1)}",
+        lambda: f"{word()} (at) {word()}. {word().title()}",
     ]
     out = []
     for i in range(n):
@@ -136,7 +167,9 @@ def _trained(rows: tuple, precision: float) -> tuple[Ensemble, tuple[float, ...]
     limits = []
     for k in range(len(MORE)):
         held = [(model.predict(x), y, w) for x, y, w, h, g in rows if h and g == k]
-        limits.append(threshold(held, precision))
+        limit = threshold(held, precision)
+        # no span that is likelier not personal; where held-out examples never go wrong, 0.9 is enough
+        limits.append(limit if limit > 1 else min(0.9, max(0.5, limit)))
     return model, tuple(limits)
 
 
@@ -156,8 +189,8 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] =
 
     Both are arrays of (start, order, end, kind), sorted; offsets count code
     points and end is exclusive.  ``_base`` has the base kinds' findings;
-    ``_spans`` adds what the trees select, unless it overlaps a base finding or a
-    better-scored span.  Null and empty texts have none; equal rows are kept
+    ``_spans`` adds what the trees select, best score first (ties: the earlier
+    start), unless it overlaps a base finding or an added span that stays.  Null and empty texts have none; equal rows are kept
     apart; an empty table gives an empty one; columns outside ``keep`` are not read.
     """
     spark = docs.sparkSession
@@ -181,9 +214,17 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] =
     spans = spans.withColumns({"kind": kind, "order": order})
     base = spans.filter("_is_base").select(F.col("_row").alias("_r"), F.col("start").alias("_s"), F.col("end").alias("_e"))
     more = spans.filter("NOT _is_base").join(base, (F.col("_row") == F.col("_r")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")), "left_anti")
-    rank = Window.partitionBy("_row").orderBy("start", F.desc("_p"), "end", "order")
-    reach = F.max("end").over(rank.rowsBetween(Window.unboundedPreceding, -1))
-    more = more.withColumn("_reach", reach).filter(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach")))
+    # Spans that touch each other, directly or by others, form a chain; within one, the better-scored are taken first.
+    upto = Window.partitionBy("_row").orderBy("start", "end", "order")
+    reach = F.max("end").over(upto.rowsBetween(Window.unboundedPreceding, -1))
+    more = more.withColumn("_new", (F.coalesce(reach, F.lit(-1)) <= F.col("start")).cast("long"))
+    more = more.withColumn("_chain", F.sum("_new").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("_p")).alias("p"), "start", "order", "end", "kind")))
+    apart = lambda kept, s: F.forall(kept, lambda k: (k["end"] <= s["start"]) | (s["end"] <= k["start"]))
+    none = F.array().cast("array<struct<p: double, start: bigint, order: int, end: bigint, kind: string>>")
+    chains = more.groupBy("_row", "_chain").agg(ranked.alias("_ranked"))
+    kept = F.aggregate("_ranked", none, lambda kept, s: F.when(apart(kept, s), F.concat(kept, F.array(s))).otherwise(kept))
+    more = chains.select("_row", F.explode(kept).alias("s")).select("_row", "s.*", F.lit(False).alias("_is_base"))
     columns = ["_row", "start", "order", "end", "kind", "_is_base"]
     spans = spans.filter("_is_base").select(*columns).unionByName(more.select(*columns))
     item = F.struct("start", "order", "end", "kind")
@@ -202,18 +243,27 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, found: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """docs with every span of found (by id) replaced by [kind]."""
+def redact(docs: DataFrame, *, text_col: str = "text", precision: float = 0.95) -> DataFrame:
+    """docs, a row for each row, with every span in text_col replaced by [kind]; null stays null.
+
+    Spans are found and cut out row by row, so rows of equal ids, or none, each
+    get their own.  Where base findings of different kinds overlap, what they
+    cover is replaced once, by the kind of the first.
+    """
+
     def cut(state: Column, span: Column) -> Column:
+        later = span["start"] >= state["at"]
+        between = F.substring(state["text"], state["at"] + 1, (span["start"] - state["at"]).cast("int"))
         return F.struct(
-            F.concat(state["out"], F.substring(state["text"], state["at"] + 1, (span["start"] - state["at"]).cast("int")), F.lit("["), span["kind"], F.lit("]")).alias("out"),
+            F.when(later, F.concat(state["out"], between, F.lit("["), span["kind"], F.lit("]"))).otherwise(state["out"]).alias("out"),
             F.greatest(state["at"], span["end"].cast("int")).alias("at"),
             state["text"].alias("text"),
         )
 
-    out = docs.join(found.select(id_col, "_spans"), id_col, "left")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), text.alias("text"))
-    apart = F.filter("_spans", lambda s: s["start"] >= 0)
-    done = F.aggregate(F.coalesce(apart, F.array().cast("array<struct<start: bigint, order: int, end: bigint, kind: string>>")), start, cut, lambda s: F.concat(s["out"], F.substring(s["text"], s["at"] + 1, F.length(s["text"]))))
-    return out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), done)).drop("_spans")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    found = find_pii(own, text_col=names[docs.columns.index(text_col)], keep=tuple(names), precision=precision)
+    text = F.col(names[docs.columns.index(text_col)])
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.coalesce(text, F.lit("")).alias("text"))
+    done = F.aggregate("_spans", start, cut, lambda s: F.concat(s["out"], F.substring(s["text"], s["at"] + 1, F.length(s["text"]))))
+    return found.select(*[F.when(text.isNotNull(), done).alias(c) if c == text_col else F.col(n).alias(c) for n, c in zip(names, docs.columns)])

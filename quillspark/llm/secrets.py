@@ -21,9 +21,9 @@ from quillspark.llm.trees import Ensemble, forest, threshold
 
 GENERATORS = [
     Generator("cloud key", "cloud key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])", "A[KS]IA"),
-    Generator("service key", "service key", r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{20,64}|xox[abp]-[A-Za-z0-9-]{20,100}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])", "gh[pousr]_|sk_live_|xox[abp]-|AIza"),
-    Generator("private key", "private key", r"-----BEGIN (?:[A-Z]{2,16} ){0,2}PRIVATE KEY-----", "-----BEGIN"),
-    Generator("assigned", "assigned", r"(?i)(?<![A-Za-z0-9])(?:api[_-]?key|secret|token|passw(?:or)?d|pwd|auth)\s?[:=]\s?[\x22']?[^\s\x22',;]{8,}+", r"(?i)(?:key|secret|token|passw|pwd|auth)\s?[:=]"),
+    Generator("service key", "service key", r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{20,}+|xox[abp]-[A-Za-z0-9-]{20,}+|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])", "gh[pousr]_|sk_live_|xox[abp]-|AIza"),
+    Generator("private key", "private key", r"-----BEGIN (?:(?!PRIVATE )[A-Z0-9]++ )*+PRIVATE KEY(?: BLOCK)?-----", "-----BEGIN"),
+    Generator("assigned", "assigned", r"(?i)(?<![A-Za-z0-9])(?:api[_-]?key|secret|token|passw(?:or)?d|pwd|auth)\s?[:=]\s?[\x22']?[^\s\x22',;]{8,}+", r"(?i)(?:key|secret|token|passw(?:or)?d|pwd|auth)\s?[:=]"),
     Generator("mixed token", "mixed token", r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{20,}+", "[A-Za-z0-9_+/=-]{20}"),
 ]
 
