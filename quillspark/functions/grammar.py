@@ -26,7 +26,7 @@ STATEMENTS = [
     ("control_wait_until", r"^wait until <(.+?)>$"), ("sound_stopallsounds", r"^stop all sounds$"), ("sound_play", r"^play sound \((.+?) v\)$"),
     ("sound_playuntildone", r"^play sound \\((.+) v\\) until done"), ("looks_hide", r"hide"), ("looks_show", r"show"), ("sensing_askandwait", r"^ask (.+) and wait"),
 ]
-# Hats (opcode, exact lines or None, pattern or None); a received message is never accepted.
+# Hats (opcode, pattern); a received message is never accepted.
 HATS = [
     ("event_whenflagclicked", r"^when (?:@greenFlag|green flag|flag) clicked$"), ("event_whenthisspriteclicked", r"^when this sprite clicked$"),
     ("event_whenbackdropswitchesto", r"when backdrop switches to \[(.+?)\]"), ("rejected", r"when I receive \[(.+?)\]"),

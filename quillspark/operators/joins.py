@@ -33,15 +33,20 @@ def resume(todo: DataFrame, done: DataFrame, key: str = "key") -> DataFrame:
     return todo.join(keys, key, "left_anti")
 
 
-def collect_responses(responses: DataFrame, metadata: DataFrame, *, order: str = "order") -> DataFrame:
-    """Predictions of responses (custom_id, error, status_code, content) with their metadata, in order.
+def collect_responses(responses: DataFrame, metadata: DataFrame, *, order: str = "order", position: str | None = None) -> DataFrame:
+    """Predictions of responses (custom_id, error, status_code, content and perhaps body) with their metadata, in order.
 
-    A response without metadata is an error.  A failed response's prediction is
-    "ERROR: " and the error or the status.
+    Where an id has several rows of metadata, the last by ``position`` (default:
+    order) counts.  A response without metadata is an error.  A failed response's
+    prediction is "ERROR: " and the error, or else the status and the body, as
+    JSON text.  Null error and empty error are none.
     """
-    known = metadata.withColumn("_known", F.lit(True))
+    known = last_by(metadata, "custom_id", position or order).withColumn("_known", F.lit(True))
+    known = known.drop(position) if position and position != order else known
     both = responses.join(known, "custom_id", "left")
     checked = F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("no metadata for "), F.col("custom_id")))).otherwise(F.col("custom_id"))
-    text = F.when(F.col("error").isNotNull(), F.concat(F.lit("ERROR: "), F.col("error"))).when(F.col("status_code") != 200, F.concat(F.lit("ERROR: status "), F.col("status_code"))).otherwise(F.trim("content"))
+    said = lambda c: F.coalesce(F.col(c).cast("string") if c in responses.columns else F.lit(None), F.lit("None"))
+    text = F.when(F.coalesce(F.col("error"), F.lit("")) != "", F.concat(F.lit("ERROR: "), F.col("error")))
+    text = text.when(F.col("status_code").eqNullSafe(F.lit(200)), F.trim("content")).otherwise(F.concat(F.lit("ERROR: status "), said("status_code"), F.lit(" "), said("body")))
     out = both.withColumn("custom_id", checked).withColumn("prediction", text)
-    return out.orderBy(order).drop(order, "_known", "error", "status_code", "content")
+    return out.orderBy(order).drop(order, "_known", "error", "status_code", "body", "content")

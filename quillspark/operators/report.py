@@ -93,6 +93,17 @@ def evaluate(compared_rows: DataFrame, by: list[str] | None = None) -> DataFrame
     return compared_rows.groupBy(*(by or [])).agg(*metrics)
 
 
+def mismatches(compared_rows: DataFrame, limit: int = 5, order: str = "order") -> DataFrame:
+    """The first rows, in order, whose prediction isn't exact."""
+    return compared_rows.filter(~F.col("exact")).orderBy(order).limit(limit)
+
+
+def mismatch_lines(shown: DataFrame, order: str = "order", nl: str = "nl", pred: str = "prediction", gold: str = "gold") -> DataFrame:
+    """Mismatches as text lines, in order: a mark, then instruction, prediction and gold."""
+    parts = [F.lit("--- mismatch ---"), *[F.concat(F.lit(f"{k}: "), F.coalesce(F.col(c), F.lit(""))) for k, c in (("NL", nl), ("PRED", pred), ("GOLD", gold))]]
+    return shown.select(order, F.posexplode(F.array(*parts)).alias("i", "line")).orderBy(order, "i").select("line")
+
+
 def report_lines(metrics: DataFrame) -> DataFrame:
     """One row of metrics as text lines "name: value", rates with 4 decimals."""
     show = lambda c: F.concat(F.lit(f"{c}: "), F.col(c).cast("string") if c == "examples" else F.format_string("%.4f", F.col(c)))

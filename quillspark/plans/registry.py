@@ -10,7 +10,7 @@ from quillspark.functions.grammar import accepted, program_blocks
 from quillspark.functions.similarity import SLOTS, token_f1
 from quillspark.functions.slots import program_slots, spoken_slots
 from quillspark.operators import joins, prompting, retrieval
-from quillspark.operators.report import align, compare, evaluate, program_alignment, summarize, worst
+from quillspark.operators.report import align, compare, evaluate, mismatches, program_alignment, summarize, worst
 from quillspark.operators.selection import by_rule, select_candidates, sequence_logprobs
 from quillspark.plans.derived import candidates, programs, table, text_pairs
 
@@ -116,71 +116,155 @@ def program_block_counts(spark, d):
     return own.filter(~F.startswith("opcode", F.lit("event_when"))).groupBy("opcode").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""with {PROGRAMS} select program_id,
-  case pr when '1-URGENT' then 'green_flag' when '2-HIGH' then 'sprite_clicked' when '3-MEDIUM' then 'key_pressed' when '4-NOT SPECIFIED' then 'backdrop_switch' else 'receive' end as event_type,
-  case pr when '3-MEDIUM' then 'space' when '4-NOT SPECIFIED' then 'b' || m when '5-LOW' then 'msg' || m end as event_target,
-  coalesce(string_agg(distinct case f when 'A,F' then 'move' when 'N,F' then 'wait' when 'N,O' then 'say' when 'R,F' then 'change_variable' end, ',' order by case f when 'A,F' then 'move' when 'N,F' then 'wait' when 'N,O' then 'say' when 'R,F' then 'change_variable' end), '') as action_types,
-  coalesce(string_agg(distinct case f when 'A,O' then cast(q as varchar) end, ',' order by case f when 'A,O' then cast(q as varchar) end), '') as loop_counts,
-  coalesce(max(case f when 'R,F' then 'score' end), '') as variable_names
-from p group by program_id, pr, m""")
+def _side(name: str, cond: str) -> str:
+    """A CTE with the slots of the program's lines (or of what is said of them) for which cond holds."""
+    some = lambda value: f"list_sort(list_distinct(coalesce(list({value}) filter ({cond}), [])))"
+    return f"""{name} as (select program_id, any_value(pr) as pr, any_value(m) as m,
+  {some("case f when 'A,F' then 'move' when 'N,F' then 'wait' when 'N,O' then 'say' when 'R,F' then 'change_variable' end")} as actions,
+  {some("case f when 'A,O' then 'repeat' end")} as loops,
+  {some("case f when 'A,O' then cast(q as varchar) end")} as counts,
+  {some("case when f in ('A,F', 'A,O', 'N,F', 'R,F') then cast(q as varchar) when f = 'N,O' then cast(l_partkey as varchar) end")} as nums,
+  {some("case f when 'R,F' then 'score' end")} as vars
+  from pp group by program_id)"""
+
+
+def _jac(slot: str) -> str:
+    return f"len(list_intersect(a.{slot}, b.{slot})) / nullif(len(list_distinct(list_concat(a.{slot}, b.{slot}))), 0)"
+
+
+SLOT_ROWS = PROGRAMS + f""",
+pp as (select *, max(n) over (partition by program_id) as total, l_partkey % 4 <> 0 as said from p),
+{_side("whole", "true")},
+{_side("spoken", "said")},
+{_side("short", "n < total")}"""
+TYPE = "case pr when '1-URGENT' then 'green_flag' when '2-HIGH' then 'sprite_clicked' when '3-MEDIUM' then 'key_pressed' when '4-NOT SPECIFIED' then 'backdrop_switch' else 'receive' end"
+TARGET = "case pr when '3-MEDIUM' then 'space' when '4-NOT SPECIFIED' then 'b' || m when '5-LOW' then 'msg' || m end"
+SLOT_COLUMNS = f"""program_id, {TYPE} as event_type, {TARGET} as event_target,
+  array_to_string(actions, ',') as action_types, array_to_string(loops, ',') as loop_types, array_to_string(counts, ',') as loop_counts, '' as condition_types,
+  array_to_string(nums, ',') as numeric_values, array_to_string(vars, ',') as variable_names, '' as costume_names,
+  case pr when '4-NOT SPECIFIED' then 'b' || m else '' end as backdrop_names, case pr when '5-LOW' then 'msg' || m else '' end as broadcast_names"""
+
+
+def _scores(name: str, program: str, other: str, spoken: bool) -> str:
+    """A CTE with the slots' scores (in the order of SLOTS) of a program against what is said, or against another program."""
+    names = "case when len(a.vars) > 0 then cast(len(b.vars) > 0 as double) when len(b.vars) > 0 then 0.0 end" if spoken else _jac("vars")
+    loops = f"{_jac('loops')}, {_jac('counts')}" if spoken else "null, null"
+    return f"""{name} as (select program_id, a.pr, [1.0::double, case when a.pr in ('3-MEDIUM', '4-NOT SPECIFIED', '5-LOW') then 1.0 end, {_jac("actions")}, {loops}, null,
+  {_jac("nums")}, {names}, null, case a.pr when '4-NOT SPECIFIED' then 1.0 end, case a.pr when '5-LOW' then 1.0 end] as v
+  from {program} a join {other} b using (program_id)),
+{name}_mean as (select *, list_sum(list_filter(v, lambda x: x is not null)) / len(list_filter(v, lambda x: x is not null)) as score from {name})"""
+
+
+SLOT_LIST = "[" + ", ".join(f"'{x}'" for x in SLOTS) + "]"
+ALIGNED = SLOT_ROWS + ",\n" + _scores("al", "whole", "spoken", True)
+
+
+def _joined_slots(side):
+    return [F.coalesce(F.col(f"s.{x}"), F.lit(None)).alias(x) if x in SLOTS[:2] else F.array_join(F.col(f"s.{x}"), ",").alias(x) for x in SLOTS]
+
+
+@query(f"with {SLOT_ROWS} select {SLOT_COLUMNS} from whole")
 def pseudocode_slots(spark, d):
     own = programs(spark, d).select("program_id", program_slots(F.col("lines")).alias("s"))
-    joined = {s: F.array_join(F.col(f"s.{s}"), ",") for s in ("action_types", "loop_counts", "variable_names")}
-    return own.select("program_id", "s.event_type", "s.event_target", *[c.alias(s) for s, c in joined.items()])
+    return own.select("program_id", *_joined_slots("s"))
 
 
-@query(f"""with {PROGRAMS} select program_id,
-  case pr when '1-URGENT' then 'green_flag' when '2-HIGH' then 'sprite_clicked' when '3-MEDIUM' then 'key_pressed' when '4-NOT SPECIFIED' then 'backdrop_switch' else 'receive' end as event_type,
-  case pr when '3-MEDIUM' then 'space' when '4-NOT SPECIFIED' then 'b' || m when '5-LOW' then 'msg' || m end as event_target,
-  coalesce(string_agg(distinct case when l_partkey % 4 <> 0 and f = 'A,O' then cast(q as varchar) end, ',' order by case when l_partkey % 4 <> 0 and f = 'A,O' then cast(q as varchar) end), '') as loop_counts,
-  coalesce(max(case when l_partkey % 4 <> 0 and f = 'R,F' then 'score' end), '') as variable_names
-from p group by program_id, pr, m""")
+@query(f"with {SLOT_ROWS} select {SLOT_COLUMNS} from spoken")
 def nl_slots(spark, d):
     own = programs(spark, d).select("program_id", spoken_slots(F.col("nl")).alias("s"))
-    return own.select("program_id", "s.event_type", "s.event_target", F.array_join("s.loop_counts", ",").alias("loop_counts"), F.array_join("s.variable_names", ",").alias("variable_names"))
+    return own.select("program_id", *_joined_slots("s"))
 
 
 def _aligned(spark, d):
     return align(programs(spark, d).withColumnRenamed("lines", "pseudocode"))
 
 
-@query()
+@query(f"""with {ALIGNED} select program_id, round(score, 6) as alignment_score, len(list_filter(v, lambda x: x < 1)) = 0 as exact_alignment, score >= 0.85 as high_confidence_alignment,
+  array_to_string(list_filter(list_transform(range(1, 12), lambda i: case when v[i] < 1 then {SLOT_LIST}[i] end), lambda x: x is not null), ',') as mismatch_slots from al_mean""")
 def sac_nl(spark, d):
     return _aligned(spark, d).select("program_id", r6("alignment_score").alias("alignment_score"), "exact_alignment", "high_confidence_alignment", F.array_join("mismatch_slots", ",").alias("mismatch_slots"))
 
 
-@query()
+@query(f"""with {ALIGNED}, g as (select {TYPE} as g, * from al_mean), every as (select g as "group", false as is_overall, score, v from g union all select 'overall', true, score, v from g),
+means as (select "group", is_overall, count(*) as n, avg(score) as s, avg(cast(len(list_filter(v, lambda x: x < 1)) = 0 as int)) as e, avg(cast(score >= 0.85 as int)) as h from every group by 1, 2),
+slots as (select "group", is_overall, {SLOT_LIST}[i] as slot, count(*) as n, count(v[i]) as c, avg(v[i]) as s from every, range(1, 12) as r(i) group by 1, 2, 3)
+select "group", is_overall, metric, round(value, 6) as value from (
+  select "group", is_overall, 'num_examples' as metric, n::double as value from means union all select "group", is_overall, 'avg_alignment_score', s from means
+  union all select "group", is_overall, 'exact_alignment_rate', e from means union all select "group", is_overall, 'high_confidence_rate', h from means
+  union all select "group", is_overall, slot || '_avg_score', s from slots where c > 0 union all select "group", is_overall, slot || '_coverage', c / n from slots where c > 0)""")
 def sac_summary(spark, d):
     own = _aligned(spark, d).withColumn("event", F.col("pseudo_slots.event_type"))
-    return summarize(own, "event").withColumn("value", r6("value"))
+    return summarize(own, "event").select("group", "is_overall", "metric", r6("value").alias("value"))
 
 
-@query()
+@query(f"with {ALIGNED} select program_id, round(score, 6) as alignment_score from al_mean order by round(score, 9), program_id limit 250")
 def sac_bottom_k(spark, d):
-    return worst(_aligned(spark, d), 250, "program_id").select("program_id", r6("alignment_score").alias("alignment_score"))
+    # rounded, so that the order of ties doesn't hang on the last bit of a mean
+    own = _aligned(spark, d).withColumn("alignment_score", F.round("alignment_score", 9))
+    return worst(own, 250, "program_id").select("program_id", r6("alignment_score").alias("alignment_score"))
+
+
+def _all_but_last(lines):
+    return F.slice(lines, F.lit(1), F.greatest(F.lit(1), F.size(lines) - 1))
+
 
+@query(f"""with {SLOT_ROWS},
+{_scores("sp", "short", "whole", False)} select program_id, round(score, 6) as alignment from sp_mean""")
+def sac_pseudo(spark, d):
+    """Programs without their last line against the whole ones."""
+    own = programs(spark, d)
+    return own.select("program_id", r6(program_alignment(F.array_join(_all_but_last(F.col("lines")), "\n"), F.array_join("lines", "\n"))).alias("alignment"))
 
-@query(f"""with {PROGRAMS}, a as (select distinct program_id, pr, case f when 'A,F' then 'm' when 'N,F' then 'w' when 'N,O' then 's' when 'R,F' then 'c' end as act from p),
-h as (select program_id, count(act) > 0 as any_action from a group by program_id)
-select program_id, 1.0::double as self_alignment from h""")
-def sac_pseudo_self(spark, d):
-    code = F.array_join("lines", "\n")
-    return programs(spark, d).select("program_id", program_alignment(code, code).alias("self_alignment"))
 
+HAT = "case pr when '1-URGENT' then 'when @greenFlag clicked' when '2-HIGH' then 'when this sprite clicked' when '3-MEDIUM' then 'when (space v) key pressed' when '4-NOT SPECIFIED' then 'when backdrop switches to [b' || m || ' v]' else 'when I receive [msg' || m || ' v]' end"
 
-@query()
+
+def _repaired(name: str, cond: str) -> str:
+    """CTEs with the repaired text of the lines for which cond holds: an end without a block goes, open blocks are closed."""
+    return f"""{name}_w as (select *, sum(case f when 'A,O' then 1 when 'R,O' then -1 else 0 end) over (partition by program_id order by n) as s from pp where {cond}),
+{name}_l as (select *, least(0, coalesce(min(s) over (partition by program_id order by n rows between unbounded preceding and 1 preceding), 0)) as low from {name}_w),
+{name}_t as (select program_id, string_agg(block, chr(10) order by n) filter (not (f = 'R,O' and s < low)) as body, last(s order by n) - least(0, min(s)) as open from {name}_l group by program_id),
+{name} as (select program_id, o.pr, {HAT.replace(' m ', ' o.m ').replace('case pr', 'case o.pr')} || coalesce(chr(10) || body, '') || repeat(chr(10) || 'end', coalesce(open, 0)::int) as code
+  from (select distinct program_id, pr, m from pp) o left join {name}_t using (program_id))"""
+
+
+@query(f"with {SLOT_ROWS}, {_repaired('fixed', 'true')} select pr <> '5-LOW' as parse_ok, count(*) as n, sum(length(code))::bigint as chars from fixed group by 1")
 def postprocess_programs(spark, d):
     own = programs(spark, d).withColumn("code", postprocess(F.array_join("lines", "\n")))
     return accepted(own, "code").groupBy("parse_ok").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("code")).alias("chars"))
 
 
-@query()
+RATES = lambda name: f"round(avg({name}), 6) as {name}_avg, round(avg(cast({name} >= 1 as int)), 6) as {name}_perfect_rate, round(avg(cast({name} >= 0.85 as int)), 6) as {name}_high_rate"
+OVERLAP = "coalesce(list_sum(list_transform(list_distinct(list_intersect(p, g)), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(g, lambda x: x = w))))), 0)"
+
+
+@query(f"""with {SLOT_ROWS}, {_repaired("fixed", "n < total")},
+golds as (select program_id, {HAT} || chr(10) || string_agg(block, chr(10) order by n) as gold from pp group by program_id, pr, m),
+{_scores("sn", "short", "spoken", True)},
+{_scores("sp", "short", "whole", False)},
+t as (select program_id, pr, code, gold, string_split_regex(code, '\\s+') as p, string_split_regex(gold, '\\s+') as g, sn.score as sac_nl, sp.score as sac_pseudo
+  from fixed join golds using (program_id) join (select program_id, score from sn_mean) sn using (program_id) join (select program_id, score from sp_mean) sp using (program_id)),
+o as (select *, {OVERLAP} as n from t)
+select count(*) as examples, round(avg(cast(code = gold as int)), 6) as exact_match, round(avg(cast(code = gold as int)), 6) as line_exact_match, round(avg(2.0 * n / (len(p) + len(g))), 6) as token_f1,
+  round(avg(cast(pr <> '5-LOW' as int)), 6) as vm_parse_rate, {RATES("sac_nl")}, {RATES("sac_pseudo")} from o""")
 def evaluate_programs(spark, d):
-    own = programs(spark, d).select(F.array_join("lines", "\n").alias("gold"), F.array_join(F.slice("lines", F.lit(1), F.greatest(F.lit(1), F.size("lines") - 1)), "\n").alias("prediction"), "nl")
+    """Programs without their last line, repaired, as predictions of the whole ones."""
+    own = programs(spark, d).select(F.array_join("lines", "\n").alias("gold"), F.array_join(_all_but_last(F.col("lines")), "\n").alias("prediction"), "nl")
     m = evaluate(compare(own, clean=True))
     return m.select("examples", *[r6(c).alias(c) for c in m.columns if c != "examples"])
 
 
+@query(f"""with {SLOT_ROWS}, {_repaired("fixed", "n < total")},
+golds as (select program_id, {HAT} || chr(10) || string_agg(block, chr(10) order by n) as gold from pp group by program_id, pr, m),
+t as (select program_id as "order", code, gold from fixed join golds using (program_id) where code <> gold order by program_id limit 20)
+select "order", i::int as i, 'PRED:' as what, md5(code) as text_md5 from t, (select 1 as i) union all select "order", 2::int, 'GOLD:', md5(gold) from t""")
+def first_mismatches(spark, d):
+    own = programs(spark, d).select(F.col("program_id").alias("order"), "nl", F.array_join("lines", "\n").alias("gold"), postprocess(F.array_join(_all_but_last(F.col("lines")), "\n")).alias("prediction"))
+    shown = mismatches(compare(own, parser=False, nl=None), 20)
+    both = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(what).alias("what"), F.md5(text).alias("text_md5")) for i, what, text in ((1, "PRED:", "prediction"), (2, "GOLD:", "gold"))])
+    return shown.select("order", F.explode(both).alias("x")).select("order", "x.*")
+
+
 TOKENS = r"unnest(regexp_extract_all(lower(text), '[a-z0-9_]+'))"
 
 
@@ -207,7 +291,24 @@ def tfidf_topk(spark, d):
     return top.select(F.col("query").alias("item_id"), "rank", F.col("doc").alias("doc_id"), r6("score").alias("score"))
 
 
-@query()
+FEWSHOT = f"""t as (select doc_id, {TOKENS} as token from documents), n as (select greatest(1, count(*)) as n from documents),
+idf as (select token, ln((1 + (select n from n)) / (1 + count(distinct doc_id))) + 1 as idf from t group by token),
+w as (select doc_id, token, count(*) * any_value(idf) as w from t join idf using (token) group by doc_id, token),
+v as (select doc_id, token, w / sqrt(sum(w * w) over (partition by doc_id)) as w from w),
+qt as (select item_id, {TOKENS} as token from benchmark),
+qw as (select item_id, token, count(*) * any_value(idf) as w from qt join idf using (token) group by item_id, token),
+qv as (select item_id, token, w / sqrt(sum(w * w) over (partition by item_id)) as w from qw),
+s as (select item_id, doc_id, round(sum(qv.w * v.w), 12) as score from qv join v using (token) group by item_id, doc_id),
+a as (select q.item_id, d.doc_id, coalesce(s.score, 0) as score from (select distinct item_id from qv) q cross join documents d left join s on s.item_id = q.item_id and s.doc_id = d.doc_id),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id desc) as rank from a),
+e as (select item_id, string_agg('Example ' || rank || ':' || chr(10) || 'Natural Language: ' || d.text || chr(10) || 'Pseudocode:' || chr(10) || lang || chr(10) || chr(10), '' order by rank) as shown
+  from r join documents d using (doc_id) where rank <= 2 group by item_id)"""
+
+
+@query(f"""with {FEWSHOT}, q as (select item_id, 'Task: write a program.' || chr(10) || chr(10) || 'One block a line.' || chr(10) || chr(10) || 'Here are some examples:' || chr(10) || chr(10) || shown
+  || 'Now the program of this description:' || chr(10) || chr(10) || 'Natural Language: ' || b.text || chr(10) || 'Pseudocode:' || chr(10) as prompt from benchmark b join e using (item_id)),
+j as (select item_id, '{{"model":"gpt-5-mini","messages":[{{"role":"user","content":' || to_json(prompt) || '}}],"max_completion_tokens":1500,"reasoning_effort":"medium"}}' as body from q)
+select 'nl2program-' || item_id as custom_id, 'POST' as method, length(body)::int as n, md5(body) as body_md5 from j""")
 def fewshot_prompts(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("nl"), F.col("lang").alias("pseudocode"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("item_id").alias("order"), F.col("text").alias("nl"))
@@ -241,6 +342,22 @@ def predictions_by_rule(spark, d):
     return own.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("prediction")).alias("chars"))
 
 
+@query(f"""with {CANDIDATES}, gold as (select conv_id, first(text order by turn) as gold from conversations where role = 'user' group by conv_id),
+b as (select conv_id, first(text order by i) as first, first(text order by lp desc, i) as likelihood, first(text order by sac desc, i) as reranked,
+  first(text order by lp desc, i) filter (ok or any_ok = 0) as parse_likelihood, first(text order by sac desc, i) filter (ok or any_ok = 0) as parse_sac from v group by conv_id),
+u as (unpivot b on first, likelihood, reranked, parse_likelihood, parse_sac into name rule value prediction),
+k as (select rule, regexp_replace(regexp_replace(prediction, '[，,:]', ' ', 'g'), '[^\\x00-\\x7F]', '', 'g') as p, regexp_replace(regexp_replace(coalesce(gold, ''), '[，,:]', ' ', 'g'), '[^\\x00-\\x7F]', '', 'g') as g from u left join gold using (conv_id)),
+w as (select rule, list_filter(string_split_regex(p, '\\s+'), lambda x: x <> '') as p, list_filter(string_split_regex(g, '\\s+'), lambda x: x <> '') as g from k),
+o as (select *, {OVERLAP} as n from w)
+select rule, count(*) as examples, round(avg(cast(p = g as int)), 6) as exact_match, round(avg(case when len(p) + len(g) = 0 then 1.0 else 2.0 * n / (len(p) + len(g)) end), 6) as token_f1 from o group by rule""")
+def metrics_by_rule(spark, d):
+    """Evaluation of each rule's choice against the conversation's first user turn."""
+    own = by_rule(select_candidates(candidates(spark, d)), ["conv_id"])
+    users = table(spark, d, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("gold"))
+    m = evaluate(compare(own.join(users, "conv_id", "left"), nl=None, parser=False), ["rule"])
+    return m.select("rule", "examples", r6("exact_match").alias("exact_match"), r6("token_f1").alias("token_f1"))
+
+
 @query("select vec_id, round(list_sum(list_transform(embedding, lambda x: -abs(x::double))), 4) as logprob_sum, round(list_sum(list_transform(embedding, lambda x: -abs(x::double))) / len(embedding), 4) as logprob_mean from embeddings")
 def sequence_logprob(spark, d):
     steps = F.transform("embedding", lambda x: -F.abs(x.cast("double")))
@@ -263,23 +380,27 @@ def resume_anti_join(spark, d):
     return joins.resume(own, done, "conv_id").select("conv_id", "turn")
 
 
-@query("select cast(conv_id * 1000 + turn as varchar) as custom_id, role as key, case when turn % 5 = 4 then 'ERROR: status 500' when turn % 7 = 6 then 'ERROR: late' else trim(text) end as prediction from conversations where turn < 1000")
+@query("""select role || case when turn % 3 = 0 then ' twice' else '' end as key, conv_id, turn, case when turn % 5 = 4 then 'ERROR: status 500 {"code":' || turn || '}' when turn % 7 = 6 then 'ERROR: late' else trim(text) end as prediction from conversations""")
 def collect_batch(spark, d):
-    own = table(spark, d, "conversations")
-    # past turn 999 the number would be another conversation's
-    apart = F.concat_ws("-", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("conv_id", "turn")])
-    number = F.when(F.col("turn").between(0, 999), (F.col("conv_id") * 1000 + F.col("turn")).cast("string"))
-    own = own.withColumn("custom_id", F.coalesce(number, apart))
-    answers = own.select("custom_id", F.when((F.col("turn") % 7 == 6) & (F.col("turn") % 5 != 4), "late").alias("error"), F.when(F.col("turn") % 5 == 4, 500).otherwise(200).alias("status_code"), F.col("text").alias("content"))
-    meta = own.select("custom_id", F.struct("conv_id", "turn").alias("order"), F.col("role").alias("key"))
-    return joins.collect_responses(answers, meta)
-
-
-@query(f"""with {PROGRAMS}, c as (select program_id, pr, m, string_agg(block, chr(10) order by n) as body from p group by program_id, pr, m)
-select program_id, md5(case pr when '1-URGENT' then 'when @greenFlag clicked' when '2-HIGH' then 'when this sprite clicked' when '3-MEDIUM' then 'when (space v) key pressed' when '4-NOT SPECIFIED' then 'when backdrop switches to [b' || m || ' v]' else 'when I receive [msg' || m || ' v]' end || chr(10) || body) as target_md5 from c""")
+    """Answers with their metadata, of which every third id has two rows: the last one counts."""
+    own = table(spark, d, "conversations").withColumn("custom_id", F.concat_ws("-", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("conv_id", "turn")]))
+    failed = F.col("turn") % 5 == 4
+    answers = own.select("custom_id", F.when((F.col("turn") % 7 == 6) & ~failed, "late").alias("error"), F.when(failed, 500).otherwise(200).alias("status_code"), F.when(failed, F.to_json(F.struct(F.col("turn").alias("code")))).alias("body"), F.col("text").alias("content"))
+    meta = own.select("custom_id", F.lit(0).alias("line"), F.struct("conv_id", "turn").alias("order"), F.col("role").alias("key"), "conv_id", "turn")
+    again = meta.filter("turn % 3 = 0").withColumns({"line": F.lit(1), "key": F.concat("key", F.lit(" twice"))})
+    return joins.collect_responses(answers, meta.unionAll(again), position="line").select("key", "conv_id", "turn", "prediction")
+
+
+@query(f"""with {PROGRAMS}, c as (select program_id, {HAT} as hat, pr, m, string_agg(block, chr(10) order by n) as body,
+  string_agg(case when l_partkey % 4 <> 0 then case f when 'A,F' then 'move ' || q || ' steps' when 'A,O' then 'repeat ' || q || ' times' when 'N,F' then 'wait ' || q || ' seconds' when 'N,O' then 'say p' || l_partkey when 'R,F' then 'change score by ' || q end end, ', ' order by n) as said
+  from p group by program_id, pr, m),
+x as (select program_id, hat || chr(10) || body as target, '<|system|>' || chr(10) || 'You write programs.' || chr(10) || '<|user|>' || chr(10) ||
+  case pr when '1-URGENT' then 'when the green flag is clicked' when '2-HIGH' then 'when you click on this sprite' when '3-MEDIUM' then 'when the space key is pressed' when '4-NOT SPECIFIED' then 'when the backdrop changes to b' || m else 'when i receive msg' || m end
+  || coalesce(', ' || said, '') || '.' || chr(10) || '<|assistant|>' || chr(10) as prompt from c)
+select program_id, md5(target) as target_md5, md5(prompt) as prompt_md5, md5(prompt || target) as text_md5 from x""")
 def sft_rows(spark, d):
     rows = prompting.training_rows(programs(spark, d), "You write programs.", key="program_id", lines="lines")
-    return rows.select("program_id", F.md5("target").alias("target_md5"))
+    return rows.select("program_id", *[F.md5(c).alias(f"{c}_md5") for c in ("target", "prompt", "text")])
 
 
 @query("select lang, count(*) as n from documents group by lang")

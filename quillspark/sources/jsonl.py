@@ -15,20 +15,21 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, line): physical lines in order, blank ones included.
+    """(ord, line): physical lines in order, blank ones included; files in order of their names.
 
-    Lines are numbered within their partition and moved on by the counts of those
-    before; the driver gets one number for each partition.
+    Lines are numbered within the piece of a file that a task read and moved on by
+    the counts of those before; the driver gets one number for each piece.
     """
-    own = spark.read.text(path).select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
-    counts = sorted((r["p"], r["n"]) for r in own.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect())
+    place = ["_metadata.file_path", "_metadata.file_block_start"]
+    own = spark.read.text(path).select(*place, F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    # a task reads a piece from its first line to its last, so ids within it have no gaps
+    counts = own.groupBy("file_path", "file_block_start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).orderBy("file_path", "file_block_start").collect()
     starts, total = [], 0
-    for p, n in counts:
-        starts.append((p, total))
-        total += n
-    first = spark.createDataFrame(starts, "p int, start long")
-    # the lower 33 bits of the id count a partition's rows
-    return own.join(F.broadcast(first), "p").select((F.col("start") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).alias("ord"), "line")
+    for r in counts:
+        starts.append((r["file_path"], r["file_block_start"], r["first"], total))
+        total += r["n"]
+    pieces = spark.createDataFrame(starts, "file_path string, file_block_start long, first long, start long")
+    return own.join(F.broadcast(pieces), ["file_path", "file_block_start"]).select((F.col("start") + F.col("id") - F.col("first")).alias("ord"), "line")
 
 
 def read_jsonl_head(spark: SparkSession, path: str, schema: str, limit: int | None, *, count_blank: bool = True) -> DataFrame:
@@ -60,6 +61,20 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.json(path, mode=mode, ignoreNullFields=False)
 
 
+def write_checkpoints(df: DataFrame, path: str, every: int, order: str = "order") -> list[str]:
+    """Write df as JSON lines in order, and beside it, for each ``every`` rows, what there is up to then.
+
+    Returns the paths written; those of the checkpoints come first, so a run that
+    ends early leaves them.  ``order`` numbers the rows from 0.
+    """
+    total = df.count()
+    marks = [(n, sibling(path, f"_checkpoint_{n}")) for n in range(every, total + 1, every)]
+    for n, name in marks:
+        write_jsonl(df.filter(F.col(order) < n).orderBy(order), name, "overwrite")
+    write_jsonl(df.orderBy(order), path, "overwrite")
+    return [*(name for _, name in marks), path]
+
+
 def write_summary(df: DataFrame, path: str) -> None:
     df.select("group", "metric", "value").write.csv(path, header=True, mode="overwrite")
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import joins, prompting, retrieval
-from quillspark.operators.report import compare, evaluate, report_lines
+from quillspark.operators.report import compare, evaluate, mismatch_lines, mismatches, report_lines
 from quillspark.sources import jsonl
 from quillspark.streaming.scoring import read_stream, score_stream
 
@@ -77,11 +77,49 @@ def test_stream(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).first()["alignment_score"] == 1.0
 
 
-def test_collect_batch_keeps_turns_past_999(spark, tmp_path):
+def test_collect_batch_keeps_every_turn(spark, tmp_path):
     from quillspark.plans import registry
 
-    rows = [(1, t, "user", f" t{t} ") for t in range(0, 2500, 100)] + [(2, 0, "user", "a"), (2, 100, "user", "b"), (3, None, "user", "c")]
+    rows = [(1, t, "user", f" t{t} ") for t in range(0, 2500, 100)] + [(2, 1, "user", "a"), (2, 100, "user", "b"), (3, None, "user", "c")]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = [(r["custom_id"], r["prediction"]) for r in registry.QUERIES["collect_batch"](spark, str(tmp_path)).collect()]
-    ids = [str(1000 + t) if t < 1000 else f"1-{t}" for t in range(0, 2500, 100)] + ["2000", "2100", "3-null"]
-    assert [i for i, _ in got] == ids and ("1-2300", "t2300") in got
+    got = [(r["conv_id"], r["turn"], r["key"], r["prediction"]) for r in registry.QUERIES["collect_batch"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(rows) and [g[:2] for g in got] == [r[:2] for r in rows]
+    assert (1, 2300, "user", "t2300") in got and (1, 300, "user twice", "t300") in got and (3, None, "user", "c") in got
+
+
+def test_collect_responses_takes_the_last_metadata_and_shows_bodies(spark):
+    meta = spark.createDataFrame([("a", 0, 5, "old"), ("b", 1, 1, "b"), ("a", 2, 2, "new"), ("c", 3, 3, "c")], "custom_id string, line int, order int, key string")
+    answers = [("a", "", 200, None, " ok "), ("b", None, 500, '{"e":1}', "x"), ("c", None, None, None, None)]
+    frame = spark.createDataFrame(answers, "custom_id string, error string, status_code int, body string, content string")
+    got = [(r["key"], r["prediction"]) for r in joins.collect_responses(frame, meta, position="line").collect()]
+    assert got == [("b", 'ERROR: status 500 {"e":1}'), ("new", "ok"), ("c", "ERROR: status None None")]
+
+
+def test_lines_of_several_files_stay_in_order(spark, tmp_path):
+    sizes = {"a": 5, "b": 40_000, "c": 1, "d": 3000}
+    for name, n in sizes.items():
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i}\n" for i in range(n)))
+    want = [f"{name}{i}" for name, n in sizes.items() for i in range(n)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        got = [(r["ord"], r["line"]) for r in jsonl.numbered_lines(spark, str(tmp_path)).orderBy("ord").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == list(enumerate(want))
+
+
+def test_checkpoints_and_mismatches(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"p{i}", "p1", f"n{i}") for i in range(7)], "order long, prediction string, gold string, nl string").repartition(3)
+    paths = jsonl.write_checkpoints(df, str(tmp_path / "out.jsonl"), 3)
+    assert [p.rsplit("/", 1)[1] for p in paths] == ["out_checkpoint_3.jsonl", "out_checkpoint_6.jsonl", "out.jsonl"]
+    assert [spark.read.json(p).count() for p in paths] == [3, 6, 7]
+    rows = mismatches(compare(df, nl=None, parser=False), 2)
+    assert [r["line"] for r in mismatch_lines(rows).collect()] == ["--- mismatch ---", "NL: n0", "PRED: p0", "GOLD: p1", "--- mismatch ---", "NL: n2", "PRED: p2", "GOLD: p1"]
+
+
+def test_split_of_a_folder_and_summary(spark, tmp_path):
+    (tmp_path / "validation.jsonl").write_text('{"key":"a"}\n{"key":"b"}\n')
+    assert jsonl.read_split(spark, str(tmp_path), "val", "key string").count() == 2
+    jsonl.write_summary(spark.createDataFrame([("overall", "n", 1.0)], "group string, metric string, value double"), str(tmp_path / "s"))
+    assert spark.read.csv(str(tmp_path / "s"), header=True).first().asDict() == {"group": "overall", "metric": "n", "value": "1.0"}
