@@ -84,7 +84,7 @@ def test_collect_batch_keeps_every_turn(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = [(r["conv_id"], r["turn"], r["key"], r["prediction"]) for r in registry.QUERIES["collect_batch"](spark, str(tmp_path)).collect()]
     assert len(got) == len(rows) and [g[:2] for g in got] == [r[:2] for r in rows]
-    assert (1, 2300, "user", "t2300") in got and (1, 300, "user twice", "t300") in got and (3, None, "user", "c") in got
+    assert (1, 2300, "user", "t2300") in got and (1, 600, "user twice", "t600") in got and (3, None, "user", "c") in got
 
 
 def test_collect_responses_takes_the_last_metadata_and_shows_bodies(spark):
