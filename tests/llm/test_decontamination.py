@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -49,11 +50,48 @@ def test_against_brute_force(spark, seed):
     assert got == brute(docs, items)
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "zeta eins alpha x beta gamma"), (2, "alpha far " + "y " * 40 + "zeta beta gamma")], "doc_id long, text string")
-    bench = spark.createDataFrame([(7, "alpha beta gamma zeta")], "item_id long, text string")
-    assert matches(docs, bench).count() == 0
-    assert matches(docs, bench, exact=False).select("_item").distinct().count() == 1
+def brute_near(docs, items, size=8):
+    """(row, item, start, n) by the rule: all words of a window, as often, within reach of its rarest term."""
+    windows, counts = {}, Counter()
+    for item, text in items:
+        w = words(text)
+        for i in range(max(1, len(w) - size + 1) if w else 0):
+            windows.setdefault(tuple(w[i:i + size]), set()).add(item)
+    used = {t for k in windows for t in k}
+    for _, text in docs:
+        counts.update(t for t in words(text) if t in used)
+    out = set()
+    for row, (_, text) in enumerate(docs):
+        w = words(text)
+        for window, found in windows.items():
+            rare = min((counts[t], i, t) for i, t in enumerate(window))[2]
+            for p in [i for i, t in enumerate(w) if t == rare]:
+                spots = [i for i in range(max(0, p - size + 1), min(len(w), p + size)) if w[i] in window]
+                have = Counter(w[i] for i in spots)
+                if all(have[t] >= n for t, n in Counter(window).items()):
+                    out |= {(docs[row][0], item, spots[0], spots[-1] - spots[0] + 1) for item in found}
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_proximity(spark, seed):
+    rng = random.Random(seed)
+    vocabulary = ["the", "of", *[f"w{i}" for i in range(12)]]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, text(rng.choice([1, 2, 4, 9]))) for i in range(12)]
+    docs = [(i, text(rng.randrange(0, 60))) for i in range(60)]
+    docs += [(100 + i, " ".join(rng.sample((t := items[i % 12][1].split()[:8]), len(t)))) for i in range(24)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["_item"], r["_start"], r["_n"]) for r in matches(frame, bench, exact=False).drop("_x").distinct().collect())
+    assert got == brute_near(docs, items) and len(got) > 50
+
+
+def test_a_very_long_text(spark):
+    passage = "eins zwei drei vier fuenf sechs sieben acht neun zehn"
+    long = "the " * 300_000 + passage + " the of" * 100_000
+    bench = spark.createDataFrame([(1, passage), (2, "the of the of the of the of"), (3, "zz " * 8)], "item_id long, text string")
+    got = contamination(spark.createDataFrame([(1, long), (2, "the")], "doc_id long, text string"), bench)
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in got.collect()} == {1: (500_010, 200_010, ["1", "2"]), 2: (1, 0, [])}
 
 
 def test_empty(spark):
