@@ -3,11 +3,13 @@
 Tokens (words and their beginnings) get log-odds of occurring in toxic rather
 than clean documents, under an informative Dirichlet prior; what counts is the
 bound that the log-odds surpass with confidence, and a word takes the weight of
-the most specific of its tokens that is known.  A linear scan finds all maximal-scoring segments of a document
-(Ruzzo and Tompa); the score that chance segments of clean documents reach
+the most specific of its tokens that is known.  A linear scan finds all
+maximal-scoring segments of a document (Ruzzo and Tompa), which are then scored
+with repeats of a word damped; the score that chance segments of clean documents reach
 follows an extreme-value law, E = K n exp(-L s) for n tokens, which turns each
 segment into a p-value.  The evidence of a document's significant segments is
-added up and calibrated to a probability.
+added up and calibrated to a probability.  Law and calibration are fitted to
+scores that documents get from the log-odds of the other half of the sample.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small_batches, write_shared
+from quillspark.llm.common import drop_shared, small_batches, write_shared
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are tokens too.
@@ -79,17 +81,42 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, high - low) for a, b, low, high in found]
 
 
+def damped(words: list[str], scores: list[float], seen: Counter) -> float:
+    """A segment's score in which each repeat of a word counts half of the one before; ``seen``: how often it came so far.
+
+    A word that a text repeats line after line would else outweigh any passage.
+    """
+    total = best = 0.0
+    for word, s in zip(words, scores):
+        if s > 0:
+            s *= 0.5 ** seen[word]
+            seen[word] += 1
+            best = max(best, s)
+        total += s
+    return max(total, best)
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, each character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 class Scorer:
     """Scores texts with one model; remembers the weights of words."""
 
     def __init__(self, model: ToxicityModel) -> None:
         self.model, self.known = model, {}
 
-    def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
-        """Number of words, and the maximal segments as (start, end, score) in characters."""
+    def segments(self, text: str) -> tuple[int, list[tuple[int, int, float, float]]]:
+        """Number of words, and the maximal segments as (start, end, score, fresh) in characters.
+
+        Repeats are damped within the segment for its score, and over the text up
+        to its end for ``fresh``, what it adds to the evidence.
+        """
         known, weight = self.known, self.model.weight
-        lowered = text.lower()
-        words = WORD.findall(lowered)
+        low = lowered(text)
+        words = WORD.findall(low)
         for w in set(words).difference(known):
             known[w] = weight(w)
         scores = [known[w] for w in words]
@@ -98,15 +125,16 @@ class Scorer:
         if not scores or max(scores) <= 0:
             return len(words), []
         found = maximal_segments(scores)
-        spans = [m.span() for m in WORD.finditer(lowered)]
-        return len(words), [(spans[a][0], spans[b - 1][1], s) for a, b, s in found]
+        spans = [m.span() for m in WORD.finditer(low)]
+        seen: Counter = Counter()
+        return len(words), [(spans[a][0], spans[b - 1][1], damped(words[a:b], scores[a:b], Counter()), damped(words[a:b], scores[a:b], seen)) for a, b, _ in found]
 
-    def evidence(self, n: int, segments: list[tuple[int, int, float]]) -> tuple[float, list[tuple[int, int, float, float]]]:
-        """Sum of -ln p over the significant segments (else that of the best one), and those segments."""
-        rated = [(a, b, s, max(self.model.p_value(s, n), 1e-300)) for a, b, s in segments]
-        kept = [x for x in rated if x[3] < SIGNIFICANT]
-        best = max((-math.log(x[3]) for x in rated), default=0.0)
-        return max(best, sum(-math.log(x[3]) for x in kept)), kept
+    def evidence(self, n: int, segments: list[tuple[int, int, float, float]]) -> tuple[float, list[tuple[int, int, float, float]]]:
+        """Sum of -ln p over the segments that are significant for what is fresh in them (else that of the best one), and the significant segments."""
+        p = lambda score: max(self.model.p_value(score, n), 1e-300)
+        adds = [-math.log(p(fresh)) for *_, fresh in segments]
+        kept = [(a, b, s, q) for a, b, s, _ in segments if (q := p(s)) < SIGNIFICANT]
+        return max(max(adds, default=0.0), sum(x for x in adds if x > -math.log(SIGNIFICANT))), kept
 
 
 def fit_extreme_values(best: list[tuple[int, float]]) -> tuple[float, float]:
@@ -157,7 +185,7 @@ def fit_logistic(evidence: list[float], toxic: list[int], shares: tuple[float, f
     return a, b
 
 
-def log_odds(y1: float, y0: float, n1: int, n0: int, prior: float) -> tuple[float, float]:
+def log_odds(y1: Column, y0: Column, n1: float, n0: float, prior: float) -> tuple[Column, Column]:
     """Log-odds ratio of a token between the classes under the Dirichlet prior, and its z-score.
 
     The prior is the corpus itself at ``prior`` times its weight, so a token
@@ -165,9 +193,31 @@ def log_odds(y1: float, y0: float, n1: int, n0: int, prior: float) -> tuple[floa
     """
     rate = (y1 + y0) / (n1 + n0)
     a1, a0 = prior * n1 * rate, prior * n0 * rate
-    odds = lambda y, a, n: math.log((y + a) / max(0.5, n * (1 + prior) - y - a))
+    odds = lambda y, a, n: F.log((y + a) / F.greatest(F.lit(0.5), n * (1 + prior) - y - a))
     delta = odds(y1, a1, n1) - odds(y0, a0, n0)
-    return delta, delta / math.sqrt(1 / (y1 + a1) + 1 / (y0 + a0))
+    return delta, delta / F.sqrt(1 / (y1 + a1) + 1 / (y0 + a0))
+
+
+def token_weights(words: DataFrame, n1: int, n0: int, prior: float, least_z: float, least_delta: float) -> dict[str, tuple[float, float]]:
+    """(log-odds, z-score) of the telling tokens, from words (token, y1, y0: documents of either class that have it)."""
+    # a beginning counts words, not documents: "los*" isn't toxic for one frequent word
+    stems = F.array(*[F.when(F.length("token") > k, F.concat(F.substring("token", 1, k), F.lit("*"))) for k in STEMS])
+    share = (F.col("y1") / n1) / (F.col("y1") / n1 + F.col("y0") / n0)
+    stems = words.select(F.explode(F.array_compact(stems)).alias("token"), share.alias("y1"), (1 - share).alias("y0"))
+    stems = stems.groupBy("token").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
+    types = words.agg(F.coalesce(F.sum(share), F.lit(0.0)).alias("y1"), F.coalesce(F.sum(1 - share), F.lit(0.0)).alias("y0")).first()
+
+    def rated(table: DataFrame, n1: float, n0: float) -> DataFrame:
+        delta, z = log_odds(F.col("y1"), F.col("y0"), n1, n0, prior)
+        return table.withColumns({"delta": delta, "z": z})
+
+    table = rated(words, n1, n0)
+    if types["y1"] > 0 and types["y0"] > 0:
+        table = table.unionByName(rated(stems, types["y1"], types["y0"]))
+    strong = table.filter((F.abs("z") >= least_z) & (F.abs("delta") >= least_delta))
+    # |z| - least_z standard errors: what the log-odds surpass with confidence
+    bound = F.col("delta") * (1 - least_z / F.abs("z"))
+    return {r["token"]: (r["bound"], r["z"]) for r in strong.select("token", "z", bound.alias("bound")).collect()}
 
 
 def fit(
@@ -178,7 +228,6 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     rows_per_class: int = 8_000,
-    max_tokens: int = 50_000,
     prior: float = 0.02,
     least_z: float = 1.65,
     least_delta: float = 1.0,
@@ -186,8 +235,8 @@ def fit(
     """Fit a model on at most ``rows_per_class`` labelled documents of each class, taken in hash order.
 
     A document labelled twice is toxic if either label says so.  Copies and near
-    copies (the same least hash of word pairs) count once.  At most
-    ``max_tokens`` tokens are kept, those of the highest z-scores.
+    copies (the same least hash of word pairs) count once.  The driver gets the
+    telling tokens of that sample and the segments' scores of its documents.
     """
     ids = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     counts = {r["_y"]: r["n"] for r in ids.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -204,71 +253,64 @@ def fit(
         for batch in batches:
             sketch = []
             for text in batch["_text"]:
-                words = WORD.findall(text.lower())
+                words = WORD.findall(lowered(text))
                 sketch.append(min((crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:])), default=crc32(text.encode())))
             yield pd.DataFrame({"sketch": sketch, "y": batch["_y"], "text": batch["_text"]})
 
     sample = sample.select("_y", "_text").mapInPandas(sketched, "sketch long, y int, text string")
-    sample = write_shared(sample.groupBy("sketch", "y").agg(F.min("text").alias("text")).select("y", "text"), "toxicity-sample")
-    n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    if not n1 or not n0:
+    sample = sample.groupBy("sketch", "y").agg(F.min("text").alias("text"))
+    sample = write_shared(sample.select("y", F.pmod(F.xxhash64("sketch"), F.lit(2)).cast("int").alias("half"), "text"), "toxicity-sample")
+    n = {(r["y"], r["half"]): r["n"] for r in sample.groupBy("y", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = lambda y, halves: sum(n.get((y, h), 0) for h in halves)
+    if not size(1, (0, 1)) or not size(0, (0, 1)):
         return ToxicityModel()
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        seen: dict[tuple[int, int], Counter] = {(y, h): Counter() for y in (0, 1) for h in (0, 1)}
 
         def out() -> pd.DataFrame:
-            keys = list(seen[0].keys() | seen[1].keys())
-            frame = pd.DataFrame({"token": keys, "y1": [seen[1][k] for k in keys], "y0": [seen[0][k] for k in keys]})
-            seen[0].clear()
-            seen[1].clear()
+            keys = list(set().union(*seen.values()))
+            frame = pd.DataFrame({"token": keys} | {f"y{y}{h}": [c[k] for k in keys] for (y, h), c in seen.items()})
+            for c in seen.values():
+                c.clear()
             return frame
 
         for batch in batches:
-            for y, text in zip(batch["y"], batch["text"]):
-                seen[y].update(set(WORD.findall(text.lower())))
-                if len(seen[0]) + len(seen[1]) > 1_000_000:
+            for y, half, text in zip(batch["y"], batch["half"], batch["text"]):
+                seen[y, half].update(set(WORD.findall(lowered(text))))
+                if sum(map(len, seen.values())) > 1_000_000:
                     yield out()
         yield out()
 
-    words = sample.mapInPandas(counted, "token string, y1 long, y0 long").groupBy("token").agg(F.sum("y1").cast("double").alias("y1"), F.sum("y0").cast("double").alias("y0"))
-    words = write_shared(words, "toxicity-words")
-    # a beginning counts words, not documents: "los*" isn't toxic for one frequent word
-    stems = F.array(*[F.when(F.length("token") > k, F.concat(F.substring("token", 1, k), F.lit("*"))) for k in STEMS])
-    share = (F.col("y1") / n1) / (F.col("y1") / n1 + F.col("y0") / n0)
-    stems = words.select(F.explode(F.array_compact(stems)).alias("token"), share.alias("y1"), (1 - share).alias("y0"))
-    stems = stems.groupBy("token").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
-    types = words.agg(F.coalesce(F.sum(share), F.lit(0.0)).alias("y1"), F.coalesce(F.sum(1 - share), F.lit(0.0)).alias("y0")).first()
+    names = [f"y{y}{h}" for y in (0, 1) for h in (0, 1)]
+    words = sample.mapInPandas(counted, "token string, " + ", ".join(f"{c} long" for c in names))
+    words = write_shared(words.groupBy("token").agg(*[F.sum(c).cast("double").alias(c) for c in names]), "toxicity-words")
 
-    def rated_by(table: DataFrame, n1: float, n0: float) -> DataFrame:
-        """The table with delta and z as log_odds() gives them."""
-        rate = (F.col("y1") + F.col("y0")) / (n1 + n0)
-        odds = lambda y, n: F.log((F.col(y) + prior * n * rate) / F.greatest(F.lit(0.5), n * (1 + prior) - F.col(y) - prior * n * rate))
-        table = table.withColumn("delta", odds("y1", n1) - odds("y0", n0))
-        return table.withColumn("z", F.col("delta") / F.sqrt(1 / (F.col("y1") + prior * n1 * rate) + 1 / (F.col("y0") + prior * n0 * rate)))
+    def learned(halves: tuple[int, ...]) -> dict[str, tuple[float, float]]:
+        n1, n0 = size(1, halves), size(0, halves)
+        if not n1 or not n0:
+            return {}
+        sums = [sum((F.col(f"y{y}{h}") for h in halves), F.lit(0.0)).alias(f"y{y}") for y in (1, 0)]
+        return token_weights(words.select("token", *sums).filter("y1 + y0 > 0"), n1, n0, prior, least_z, least_delta)
 
-    table = rated_by(words, n1, n0)
-    if types["y1"] > 0 and types["y0"] > 0:
-        table = table.unionByName(rated_by(stems, types["y1"], types["y0"]))
-    strong = table.filter((F.abs("z") >= least_z) & (F.abs("delta") >= least_delta)).orderBy(F.desc(F.abs("z")), "token").limit(max_tokens)
-    # |z| - least_z standard errors: what the log-odds surpass with confidence
-    bound = F.col("delta") * (1 - least_z / F.abs("z"))
-    model = ToxicityModel({r["token"]: (r["bound"], r["z"]) for r in strong.select("token", "z", bound.alias("bound")).collect()})
+    model = ToxicityModel(learned((0, 1)))
+    # the weights that a document is scored with here come from the half that it isn't in
+    others = {half: ToxicityModel(learned((1 - half,))) for half in (0, 1)}
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(model)
+        scorers = {half: Scorer(m) for half, m in others.items()}
         for batch in batches:
             rows = []
-            for y, text in zip(batch["y"], batch["text"]):
-                size, found = scorer.segments(text)
-                rows.append((y, size, [s for _, _, s in found]))
+            for y, half, text in zip(batch["y"], batch["half"], batch["text"]):
+                words, found = scorers[half].segments(text)
+                rows.append((y, words, [fresh for *_, fresh in found]))
             yield pd.DataFrame(rows, columns=["y", "n", "scores"])
 
     rated = [(r["y"], r["n"], r["scores"]) for r in sample.mapInPandas(best, "y int, n int, scores array<double>").collect()]
-    model.rate, model.k = fit_extreme_values([(size, max(s)) for y, size, s in rated if y == 0 and s])
+    drop_shared(sample, words)
+    model.rate, model.k = fit_extreme_values([(words, max(s)) for y, words, s in rated if y == 0 and s])
     scorer = Scorer(model)
-    evidence = [scorer.evidence(size, [(0, 0, s) for s in scores])[0] for _, size, scores in rated]
+    evidence = [scorer.evidence(words, [(0, 0, s, s) for s in scores])[0] for _, words, scores in rated]
     share = counts[1] / (counts[0] + counts[1])
     model.slope, model.bias = fit_logistic(evidence, [y for y, _, _ in rated], (1 - share, share))
     return model

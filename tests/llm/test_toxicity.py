@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm.toxicity import ToxicityModel, fit, fit_extreme_values, log_odds, maximal_segments, score
 
@@ -26,10 +27,35 @@ def test_segments(seed):
     assert [x[:2] for x in maximal_segments(scores)] == [x[:2] for x in brute_maximal(scores)]
 
 
-def test_rare_tokens_are_shrunk():
-    often, rare = log_odds(500, 0, 1000, 9000, 0.02), log_odds(2, 0, 1000, 9000, 0.02)
-    assert often[1] > 5 and 0 < rare[1] < 1.65
-    assert log_odds(0, 900, 1000, 9000, 0.02)[0] < 0
+def test_log_odds(spark):
+    """The formula in plain Python gives the same, and rare tokens are shrunk."""
+    cases = [(500.0, 0.0), (2.0, 0.0), (0.0, 900.0), (37.0, 12.0)]
+    n1, n0, prior = 1000, 9000, 0.02
+    frame = spark.createDataFrame([(float(a), float(b)) for a, b in cases], "y1 double, y0 double")
+    got = [tuple(r) for r in frame.select(*log_odds(F.col("y1"), F.col("y0"), n1, n0, prior)).collect()]
+    for (y1, y0), (delta, z) in zip(cases, got):
+        a1, a0 = (prior * n * (y1 + y0) / (n1 + n0) for n in (n1, n0))
+        want = math.log((y1 + a1) / (n1 * (1 + prior) - y1 - a1)) - math.log((y0 + a0) / (n0 * (1 + prior) - y0 - a0))
+        assert delta == pytest.approx(want) and z == pytest.approx(want / math.sqrt(1 / (y1 + a1) + 1 / (y0 + a0)))
+    assert got[0][1] > 5 and 0 < got[1][1] < 1.65 and got[2][0] < 0
+
+
+def test_offsets_are_those_of_the_text(spark):
+    model = ToxicityModel({"vile": (9.0, 9.0)}, k=0.1, slope=4.0, bias=-6.0)
+    text = "İİİ ẞ plain VILE words"
+    (got,) = score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+    assert [text[p["start"] : p["end"]] for p in got["_passages"]] == ["VILE"]
+
+
+def test_held_out_rows_of_the_test_tables(spark):
+    """Labelled rows that nothing was learned from: no clean document is called toxic, most toxic ones are."""
+    from quillspark.llm.registry import op2_toxicity
+
+    folder = "/root/testdata/sf0.1"
+    held = op2_toxicity(spark, folder).filter("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").select("toxic", "predicted").collect()
+    toxic = [r["predicted"] for r in held if r["toxic"] == 1]
+    assert len(toxic) > 100 and sum(toxic) >= 0.75 * len(toxic)
+    assert sum(r["predicted"] for r in held if r["toxic"] == 0) <= 0.005 * len(held)
 
 
 def test_extreme_value_fit():
