@@ -29,8 +29,10 @@ from quillspark.llm.common import small_batches, write_shared
 BITS, BANDS, RADIUS = 128, 4, 12
 #: A corner is the strongest within so many pixels.
 APART = 4
+#: Rows of a strip (even), and rows around it that its corners depend on.
+STRIP, MARGIN = 1024, RADIUS + APART + 4
 #: Orientations for which the tests are laid out.
-TURNS = 16
+TURNS = 24
 #: Largest number of bits in which matching descriptors differ; below 2 * BANDS, the join finds every such pair.
 NEAR = 2 * BANDS - 1
 
@@ -129,40 +131,55 @@ def _around(values: np.ndarray, reach: int) -> np.ndarray:
 def keypoints(image: np.ndarray, levels: int = 3) -> list[tuple[float, float, float, int, bytes]]:
     """(x, y, scale, turn, descriptor) of all corners of each level of the pyramid that are the strongest within APART pixels.
 
-    Whether a corner is taken depends on its surroundings alone, so a crop keeps those of its part of the whole.
+    Whether a corner is taken depends on its surroundings alone, so a crop keeps
+    those of its part of the whole, and a tall picture is worked on strip by strip:
+    beside its pixels, memory is that of a strip.
     """
     out, scale = [], 1.0
     for _ in range(levels):
         h, w = image.shape
         if min(h, w) < 2 * RADIUS + 3:
             break
-        smooth = _blur(image)
-        gx, gy = np.gradient(smooth, axis=1), np.gradient(smooth, axis=0)
-        a, b, c = _blur(gx * gx), _blur(gy * gy), _blur(gx * gy)
-        strength = a * b - c * c - 0.05 * (a + b) ** 2
-        edge = RADIUS + 1
-        inner = strength[edge:-edge, edge:-edge]
-        peak = (inner > 1.0) & (inner >= _around(strength, APART)[edge:-edge, edge:-edge])
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                if dx or dy:
-                    other = strength[edge + dy : h - edge + dy, edge + dx : w - edge + dx]
-                    peak &= (inner > other) if (dy, dx) > (0, 0) else (inner >= other)
-        ys, xs = np.nonzero(peak)
-        ys, xs = ys + edge, xs + edge
-        for part in range(0, len(ys), 1000):  # so that a large picture's patches aren't held at once
-            py, px = ys[part : part + 1000], xs[part : part + 1000]
-            patches = smooth[py[:, None, None] + _Y, px[:, None, None] + _X] * _DISC
-            angle = np.arctan2((patches * _Y).sum((1, 2)), (patches * _X).sum((1, 2)))
-            turn = np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS
-            points = lambda k: smooth[py[:, None] + DY[turn, :, k], px[:, None] + DX[turn, :, k]]  # noqa: B023, E731
-            bits = np.packbits(points(0) < points(1), axis=1)
-            out += [(float(x * scale), float(y * scale), scale, int(t), d.tobytes()) for x, y, t, d in zip(px, py, turn, bits)]
-        image = smooth[: h // 2 * 2, : w // 2 * 2].reshape(h // 2, 2, w // 2, 2).mean((1, 3))
+        halves = []
+        for top in range(0, h, STRIP):
+            bottom = min(h, top + STRIP)
+            start = max(0, top - MARGIN)
+            smooth = _blur(image[start : bottom + MARGIN].astype(np.float32))
+            out += [(x * scale, (y + start) * scale, scale, t, d) for x, y, t, d in _corners(smooth, max(top, RADIUS + 1) - start, min(bottom, h - RADIUS - 1) - start)]
+            own = smooth[top - start : top - start + (bottom - top) // 2 * 2, : w // 2 * 2]
+            halves.append(own.reshape(len(own) // 2, 2, w // 2, 2).mean((1, 3)))
+        image = np.concatenate(halves)
         scale *= 2
     return out
 
 
+def _corners(smooth: np.ndarray, low: int, high: int) -> Iterator[tuple[float, float, int, bytes]]:
+    """(x, y, turn, descriptor) of the corners in rows low to high (exclusive), which lie further from the strip's cuts than what they depend on."""
+    if high <= low:
+        return
+    edge, w = RADIUS + 1, smooth.shape[1]
+    gx, gy = np.gradient(smooth, axis=1), np.gradient(smooth, axis=0)
+    a, b, c = _blur(gx * gx), _blur(gy * gy), _blur(gx * gy)
+    strength = a * b - c * c - 0.05 * (a + b) ** 2
+    inner = strength[low:high, edge:-edge]
+    peak = (inner > 1.0) & (inner >= _around(strength, APART)[low:high, edge:-edge])
+    for dy in (-1, 0, 1):
+        for dx in (-1, 0, 1):
+            if dx or dy:
+                other = strength[low + dy : high + dy, edge + dx : w - edge + dx]
+                peak &= (inner > other) if (dy, dx) > (0, 0) else (inner >= other)
+    ys, xs = np.nonzero(peak)
+    ys, xs = ys + low, xs + edge
+    for part in range(0, len(ys), 1000):  # so that a strip's patches aren't held at once
+        py, px = ys[part : part + 1000], xs[part : part + 1000]
+        patches = smooth[py[:, None, None] + _Y, px[:, None, None] + _X] * _DISC
+        angle = np.arctan2((patches * _Y).sum((1, 2)), (patches * _X).sum((1, 2)))
+        turn = np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS
+        points = lambda k: smooth[py[:, None] + DY[turn, :, k], px[:, None] + DX[turn, :, k]]  # noqa: B023, E731
+        bits = np.packbits(points(0) < points(1), axis=1)
+        yield from ((float(x), float(y), int(t), d.tobytes()) for x, y, t, d in zip(px, py, turn, bits))
+
+
 def index(images: DataFrame, id_col: str, data_col: str, read=decode) -> DataFrame:
     """(id, c, size, points): the class of each image's pixels, how many, and its keypoints."""
     small_batches(images.sparkSession)
@@ -238,7 +255,7 @@ def draw(text: str, columns: int = 24) -> np.ndarray:
     seeds[: len(words)] = [zlib.crc32(w.encode()) | 1 << 32 for w in words]
     shades = (seeds[:, None] * np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint64) >> np.uint64(13)) & np.uint64(255)
     tiles = np.where(seeds[:, None] > 0, shades, 255).astype(np.uint8).reshape(rows, columns, 2, 2)
-    return tiles.transpose(0, 2, 1, 3).reshape(2 * rows, 2 * columns).repeat(4, 0).repeat(4, 1).astype(np.float32)
+    return tiles.transpose(0, 2, 1, 3).reshape(2 * rows, 2 * columns).repeat(4, 0).repeat(4, 1)
 
 
 def page_text(html: str = "html"):

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from quillspark.llm.media import decode, draw, find_copies, keypoints, page_text
+from quillspark.llm.media import TURNS, decode, draw, find_copies, keypoints, page_text
 
 
 def pgm(image):
@@ -64,8 +64,8 @@ def brute_copies(images, queries, near=7, votes=8, cell=24.0):
             cells = {}
             for a, b in zip(*np.nonzero(apart <= near)):
                 (qx, qy, qs, qt, _), (x, y, s, t, _) = points[q][a], points[i][b]
-                turned, ratio = (t - qt) % 16, s / qs
-                angle = turned * 2 * np.pi / 16
+                turned, ratio = (t - qt) % TURNS, s / qs
+                angle = turned * 2 * np.pi / TURNS
                 dx, dy = x - ratio * (np.cos(angle) * qx - np.sin(angle) * qy), y - ratio * (np.cos(angle) * qy + np.sin(angle) * qx)
                 for j in (0, 1):
                     for k in (0, 1):
@@ -76,8 +76,24 @@ def brute_copies(images, queries, near=7, votes=8, cell=24.0):
     return out
 
 
+def turned(image, degrees):
+    """The picture turned by any angle, between pixels by the mean of four, on a larger grey ground."""
+    h, w = image.shape
+    c, s = np.cos(np.deg2rad(degrees)), np.sin(np.deg2rad(degrees))
+    height, width = int(abs(h * c) + abs(w * s)), int(abs(w * c) + abs(h * s))
+    y, x = np.mgrid[:height, :width]
+    y, x = y - height / 2, x - width / 2
+    sx, sy = c * x + s * y + w / 2 - 0.5, c * y - s * x + h / 2 - 0.5
+    x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
+    inside = (x0 >= 0) & (y0 >= 0) & (x0 < w - 1) & (y0 < h - 1)
+    fx, fy, x0, y0 = sx - x0, sy - y0, x0.clip(0, w - 2), y0.clip(0, h - 2)
+    at = lambda a, b: image[y0 + a, x0 + b].astype(float)
+    value = (at(0, 0) * (1 - fx) + at(0, 1) * fx) * (1 - fy) + (at(1, 0) * (1 - fx) + at(1, 1) * fx) * fy
+    return np.where(inside, value, 128)
+
+
 def altered():
-    """Pictures 0 to 11, and a cropped, a noisy and a halved copy of each: id 100 * k + picture."""
+    """Pictures 0 to 11, and a cropped, a noisy, a halved, a turned and an edited copy of each: id 100 * k + picture."""
     rng = np.random.default_rng(5)
     images = {}
     for i in range(12):
@@ -85,6 +101,9 @@ def altered():
         noisy = np.clip(base + rng.normal(0, 60, base.shape), 0, 255)
         halved = base.reshape(120, 2, 152, 2).mean((1, 3)) + rng.normal(0, 40, (120, 152))
         images |= {i: pgm(base), 100 + i: pgm(base[51:181, 37:207]), 200 + i: pgm(noisy), 300 + i: pgm(np.clip(halved, 0, 255))}
+        edited = base.copy()
+        edited[60:150, 80 : 90 + 10 * i] = 0
+        images |= {400 + i: pgm(np.clip(turned(base, 30 * i + 5.6 + i), 0, 255)), 500 + i: pgm(edited)}
     return images
 
 
@@ -93,10 +112,25 @@ def test_recall_of_altered_copies(spark):
     frame = spark.createDataFrame([(i, bytes(d)) for i, d in images.items()], "id long, data binary").repartition(4)
     got = {(r["query"], r["id"]) for r in find_copies(frame, frame.filter("id < 100")).collect()}
     assert got == brute_copies(images, range(12))
-    for kind in (1, 2, 3):
+    for kind in (1, 2, 3, 4, 5):
         assert sum((i, 100 * kind + i) in got for i in range(12)) >= 0.9 * 12
 
 
+def test_strips_give_what_the_whole_gives(monkeypatch):
+    from quillspark.llm import media
+
+    whole = keypoints(picture(3, 1000, 192))
+    monkeypatch.setattr(media, "STRIP", 64)
+    assert sorted(keypoints(picture(3, 1000, 192))) == sorted(whole) and len(whole) > 1000
+
+
+def test_nulls_ties_repeats_and_clashing_names(spark):
+    rows = [(0, pgm(picture(0)), "x"), (0, pgm(picture(0)), "x"), (7, pgm(picture(0)), "y"), (None, pgm(picture(0)[16:, 24:]), "z"), (None, None, None), (8, pgm(np.zeros((80, 80))), "w"), (9, pgm(np.zeros((80, 80))), "w")]
+    images = spark.createDataFrame(rows, "id long, data binary, votes string").repartition(3)
+    got = find_copies(images, images.filter("id IN (0, 8)")).collect()
+    assert sorted(map(str, ((r["query"], r["id"], r["is_same"]) for r in got))) == sorted(map(str, [(0, 7, True), (0, None, False), (8, 9, True)]))
+
+
 def test_corners_are_as_dense_in_a_large_picture():
     strong = [len(keypoints(picture(3, h, 192).astype(np.float32))) for h in (400, 4000)]
     assert strong[1] > 9 * strong[0]
