@@ -13,6 +13,8 @@ left chunk is widened, at last up to the text's end.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,6 +29,33 @@ MARGIN = 64
 BATCH_CHARS = 1 << 18
 
 
+#: A space between two characters that aren't white space: a byte-level pre-tokeniser always begins a token there.
+CUT = re.compile(r"(?<=[!-~\w])(?= [!-~\w])")
+
+
+def cuts_at_spaces(config: dict) -> bool:
+    """Is it a byte-level BPE whose tokens never span such a space, whatever stands around?"""
+    before, model = config.get("pre_tokenizer") or {}, config.get("model") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space", True) and before.get("use_regex", True)
+    return plain and config.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout")
+
+
+class Pieces:
+    """Token counts of texts by their pieces, each of which is encoded once and then remembered."""
+
+    def __init__(self, lengths, added: list[str]) -> None:
+        self.lengths, self.added, self.known = lengths, added, {}
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        cut = [[t] if any(a in t for a in self.added) else CUT.split(t) for t in texts]
+        fresh = list(set().union(*cut).difference(self.known))
+        if len(self.known) > 250_000:
+            self.known = {}
+            fresh = list(set().union(*cut))
+        self.known.update(zip(fresh, self.lengths(fresh)))
+        return [sum(map(self.known.__getitem__, pieces)) for pieces in cut]
+
+
 def _word_starts(encoding, base: int) -> dict[int, int]:
     """Absolute offset of each pre-token's first character -> index of its first token."""
     found, last = {}, object()
@@ -100,7 +129,10 @@ def token_counts(
             model.no_truncation()
             model.no_padding()
             encode = lambda text: model.encode(text, add_special_tokens=False)
-            lengths = lambda texts: [len(x.ids) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+            lengths = lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+            config = json.loads(blob.value)
+            if cuts_at_spaces(config):
+                lengths = Pieces(lengths, [t["content"] for t in config.get("added_tokens") or []])
         for batch in batches:
             counts, group, held = [0] * len(batch), [], 0
             for i, text in enumerate(batch["_text"]):

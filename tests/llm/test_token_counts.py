@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quillspark.llm.token_counts import spliced_count, token_counts
+from quillspark.llm.token_counts import Pieces, cuts_at_spaces, spliced_count, token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -35,6 +35,35 @@ def test_no_common_boundary_widens(model, text):
     assert spliced_count(encode, text, 700, 200) == whole(model, text)
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_pieces_equal_the_whole(model, seed):
+    rng = random.Random(seed)
+    more = [*PIECES, "\u00a0", "\u3000x", "\x1c", "\x1f a", "\x85 b", " \u2028 ", "_ _", "\u0301 ", "ß ñ", "١٢ ٣", " 's", "' s", "\r ", "\u200b "]
+    texts = ["".join(rng.choice(more) for _ in range(rng.randrange(0, 300))) for _ in range(60)]
+    lengths = lambda batch: [len(x) for x in model.encode_batch_fast(batch, add_special_tokens=False)]
+    count = Pieces(lengths, ["<|endoftext|>"])
+    assert count(texts) == [whole(model, t) for t in texts]
+    plain = ["".join(c for c in t if c not in "<|>") for t in texts]
+    assert Pieces(lengths, [])(plain) == [whole(model, t) for t in plain]
+
+
+def test_all_documents(spark, model):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts(docs, PATH).collect()}
+    assert got == {r["doc_id"]: whole(model, r["text"] or "") for r in docs.collect()}
+
+
+def test_other_vocabularies_are_not_cut(spark):
+    import json
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert cuts_at_spaces(json.load(open(PATH))) and not cuts_at_spaces(json.load(open(path)))
+    model = Tokenizer.from_file(path)
+    texts = ["Hello  World", "a b c " * 50, "", "é <|endoftext|> x"]
+    got = token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: whole(model, t) for i, t in enumerate(texts)}
+
+
 def test_rows(spark, model):
     rows = [(1, "hello world", "x"), (2, None, "y"), (3, "", None), (1, "hello world", "x"), (None, "a<|endoftext|>b", "z"), (5, "word " * 30_000, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
