@@ -174,5 +174,23 @@ select d.doc_id, cast(coalesce(len(lines), 0) as bigint) as n_lines, cast(coales
        md5(coalesce(case when ps is null then d.text
          else array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda x: not list_contains(ps, x)), lambda x: lines[x]), chr(10)) end, '')) as kept_md5
 from d left join g on d.doc_id = g.doc_id and d.text = g.text
+""",
+    "op7_jaccard_join": r"""
+with recursive d as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+s as (
+  select distinct r, array_to_string(w[i : i + 3], ' ') as g
+  from d, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as u(i) where len(w) > 0),
+sizes as (select r, count(*) as n from s group by r),
+common as (select a.r as a, b.r as b, count(*) as n from s a join s b using (g) where a.r <> b.r group by a.r, b.r),
+links as (
+  select a, b from common c join sizes x on x.r = a join sizes y on y.r = b
+  where 100 * c.n >= 85 * (x.n + y.n - c.n)),
+reach(r, q) as (select r, r from d union select reach.r, links.b from reach join links on links.a = reach.q),
+least_of as (select reach.r, min(d.doc_id) as component_id from reach join d on d.r = reach.q group by reach.r)
+select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id
+from d join least_of using (r) left join sizes using (r)
 """,
 }
