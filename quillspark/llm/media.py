@@ -19,7 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +35,8 @@ STRIP, MARGIN = 1024, RADIUS + APART + 4
 TURNS = 24
 #: Largest number of bits in which matching descriptors differ; below 2 * BANDS, the join finds every such pair.
 NEAR = 2 * BANDS - 1
+#: Columns of a descriptor's words.
+WORDS = [f"b{i}" for i in range(BITS // 64)]
 
 
 def decode(data: bytes | bytearray) -> np.ndarray:
@@ -105,14 +107,19 @@ def _layout() -> tuple[np.ndarray, np.ndarray]:
 
 DX, DY = _layout()
 _Y, _X = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
-_DISC = (_X**2 + _Y**2 <= RADIUS**2).astype(np.float32)
+_Y, _X = _Y[_Y**2 + _X**2 <= RADIUS**2], _X[_Y**2 + _X**2 <= RADIUS**2]
+_MOMENTS = np.stack([_Y, _X], 1).astype(np.float32)
 
 
-def _blur(image: np.ndarray) -> np.ndarray:
-    """Mean over 3 x 3 pixels."""
-    p = np.pad(image, 1, mode="edge")
-    rows = p[:-2] + p[1:-1] + p[2:]
-    return (rows[:, :-2] + rows[:, 1:-1] + rows[:, 2:]) / 9
+def _blur(values: np.ndarray) -> np.ndarray:
+    """Mean over 3 x 3 values; beyond the edge stands the edge."""
+    rows = np.empty_like(values)
+    rows[1:-1] = values[:-2] + values[1:-1] + values[2:]
+    rows[0], rows[-1] = 2 * values[0] + values[1], 2 * values[-1] + values[-2]
+    out = np.empty_like(values)
+    out[:, 1:-1] = rows[:, :-2] + rows[:, 1:-1] + rows[:, 2:]
+    out[:, 0], out[:, -1] = 2 * rows[:, 0] + rows[:, 1], 2 * rows[:, -1] + rows[:, -2]
+    return np.divide(out, np.float32(9), out=out)
 
 
 def _around(values: np.ndarray, reach: int) -> np.ndarray:
@@ -128,83 +135,135 @@ def _around(values: np.ndarray, reach: int) -> np.ndarray:
     return values
 
 
-def keypoints(image: np.ndarray, levels: int = 3) -> list[tuple[float, float, float, int, bytes]]:
-    """(x, y, scale, turn, descriptor) of all corners of each level of the pyramid that are the strongest within APART pixels.
+#: What is known of each corner: picture, place, size of a pixel there, orientation and bits.
+POINT = np.dtype([("image", "i8"), ("x", "i4"), ("y", "i4"), ("scale", "i4"), ("turn", "i4"), ("bits", "i8", len(WORDS))])
+
+
+def corners(images: list[np.ndarray], levels: int = 3) -> np.ndarray:
+    """POINT rows of all corners of each level of the images' pyramids that are the strongest within APART pixels, image by image.
 
     Whether a corner is taken depends on its surroundings alone, so a crop keeps
-    those of its part of the whole, and a tall picture is worked on strip by strip:
-    beside its pixels, memory is that of a strip.
+    those of its part of the whole.  Images are laid one below the other on sheets
+    of their width and about STRIP rows, and a tall one is cut into strips: beside
+    the pixels, memory is that of a sheet.
     """
-    out, scale = [], 1.0
-    for _ in range(levels):
-        h, w = image.shape
-        if min(h, w) < 2 * RADIUS + 3:
-            break
-        halves = []
-        for top in range(0, h, STRIP):
-            bottom = min(h, top + STRIP)
-            start = max(0, top - MARGIN)
-            smooth = _blur(image[start : bottom + MARGIN].astype(np.float32))
-            out += [(x * scale, (y + start) * scale, scale, t, d) for x, y, t, d in _corners(smooth, max(top, RADIUS + 1) - start, min(bottom, h - RADIUS - 1) - start)]
-            own = smooth[top - start : top - start + (bottom - top) // 2 * 2, : w // 2 * 2]
-            halves.append(own.reshape(len(own) // 2, 2, w // 2, 2).mean((1, 3)))
-        image = np.concatenate(halves)
-        scale *= 2
-    return out
-
-
-def _corners(smooth: np.ndarray, low: int, high: int) -> Iterator[tuple[float, float, int, bytes]]:
-    """(x, y, turn, descriptor) of the corners in rows low to high (exclusive), which lie further from the strip's cuts than what they depend on."""
-    if high <= low:
-        return
+    found = []
+    level = {i: image for i, image in enumerate(images)}
+    for k in range(levels):
+        level = {i: image for i, image in level.items() if min(image.shape) >= 2 * RADIUS + 3}
+        halves = {i: [] for i in level}
+        sheet, rows, width = [], 0, 0
+        # (image, first and last row, first and last row with margin)
+        for i in sorted(level, key=lambda i: (level[i].shape[1], i)):
+            h, w = level[i].shape
+            for top in range(0, h, STRIP):
+                bottom = min(h, top + STRIP)
+                part = (i, top, bottom, max(0, top - MARGIN), min(h, bottom + MARGIN))
+                if sheet and (w != width or rows + bottom - top > STRIP):
+                    found += _sheet(level, sheet, halves, k)
+                    sheet, rows = [], 0
+                sheet, rows, width = [*sheet, part], rows + bottom - top, w
+        if sheet:
+            found += _sheet(level, sheet, halves, k)
+        level = {i: np.concatenate(parts) for i, parts in halves.items()}
+    out = np.concatenate(found) if found else np.empty(0, POINT)
+    return out[np.argsort(out["image"], kind="stable")]
+
+
+def _sheet(level: dict[int, np.ndarray], parts: list[tuple[int, ...]], halves: dict[int, list[np.ndarray]], k: int) -> Iterator[np.ndarray]:
+    """The corners of one sheet of level k; ``halves`` receives its parts at half the size."""
+    # above and below each part stands its outermost row again, as beyond an edge
+    sheet = np.concatenate([level[i][[start, *range(start, end), end - 1]] for i, _, _, start, end in parts]).astype(np.float32)
+    smooth = _blur(sheet)
+    image_of, first = np.zeros(len(sheet), np.int64), np.zeros(len(sheet), np.int64)
+    own, at = np.zeros(len(sheet), bool), 1
+    for i, top, bottom, start, end in parts:
+        zero = at - start  # the sheet's row of the image's row 0
+        low, high = max(top, RADIUS + 1) + zero, min(bottom, len(level[i]) - RADIUS - 1) + zero
+        if high > low:
+            own[low:high], image_of[low:high], first[low:high] = True, i, zero
+        rows = smooth[top + zero : top + zero + (bottom - top) // 2 * 2, : sheet.shape[1] // 2 * 2]
+        pairs = rows[::2] + rows[1::2]
+        halves[i].append((pairs[:, ::2] + pairs[:, 1::2]) * np.float32(0.25))
+        at += end - start + 2
+    for ys, xs, turn, bits in _corners(smooth, own):
+        out = np.empty(len(ys), POINT)
+        out["image"], out["x"], out["y"], out["scale"], out["turn"] = image_of[ys], xs << k, (ys - first[ys]) << k, 1 << k, turn
+        out["bits"] = bits.view(">i8")
+        yield out
+
+
+def _corners(smooth: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(rows, columns, turns, descriptors) of the corners in the rows marked in ``own``, all of which lie further from any edge than what they depend on."""
     edge, w = RADIUS + 1, smooth.shape[1]
-    gx, gy = np.gradient(smooth, axis=1), np.gradient(smooth, axis=0)
+    gx, gy = np.zeros_like(smooth), np.zeros_like(smooth)
+    np.subtract(smooth[:, 2:], smooth[:, :-2], out=gx[:, 1:-1])
+    np.subtract(smooth[2:], smooth[:-2], out=gy[1:-1])
+    gx *= np.float32(0.5)
+    gy *= np.float32(0.5)
     a, b, c = _blur(gx * gx), _blur(gy * gy), _blur(gx * gy)
-    strength = a * b - c * c - 0.05 * (a + b) ** 2
-    inner = strength[low:high, edge:-edge]
-    peak = (inner > 1.0) & (inner >= _around(strength, APART)[low:high, edge:-edge])
-    for dy in (-1, 0, 1):
+    strength = a * b - c * c - np.float32(0.05) * (a + b) ** 2
+    peak = (strength > 1.0) & (strength >= _around(strength, APART)) & own[:, None]
+    peak[:, :edge], peak[:, w - edge :] = False, False
+    flat, sure = strength.ravel(), np.flatnonzero(peak)
+    for dy in (-1, 0, 1):  # of equal neighbours the last one counts
         for dx in (-1, 0, 1):
-            if dx or dy:
-                other = strength[low + dy : high + dy, edge + dx : w - edge + dx]
-                peak &= (inner > other) if (dy, dx) > (0, 0) else (inner >= other)
-    ys, xs = np.nonzero(peak)
-    ys, xs = ys + low, xs + edge
-    for part in range(0, len(ys), 1000):  # so that a strip's patches aren't held at once
-        py, px = ys[part : part + 1000], xs[part : part + 1000]
-        patches = smooth[py[:, None, None] + _Y, px[:, None, None] + _X] * _DISC
-        angle = np.arctan2((patches * _Y).sum((1, 2)), (patches * _X).sum((1, 2)))
-        turn = np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS
-        points = lambda k: smooth[py[:, None] + DY[turn, :, k], px[:, None] + DX[turn, :, k]]  # noqa: B023, E731
-        bits = np.packbits(points(0) < points(1), axis=1)
-        yield from ((float(x), float(y), int(t), d.tobytes()) for x, y, t, d in zip(px, py, turn, bits))
+            if (dy, dx) > (0, 0):
+                sure = sure[flat[sure] > flat[sure + dy * w + dx]]
+    pixels, disc = smooth.ravel(), _Y * w + _X
+    pairs = np.concatenate([DY[..., k] * w + DX[..., k] for k in (0, 1)], axis=1)
+    for part in range(0, len(sure), 250):  # so that a sheet's patches aren't held at once
+        at = sure[part : part + 250]
+        moments = pixels.take(at[:, None] + disc) @ _MOMENTS
+        turn = np.rint(np.arctan2(moments[:, 0], moments[:, 1]) / (2 * np.pi) * TURNS).astype(int) % TURNS
+        points = pixels.take(at[:, None] + pairs[turn])
+        yield at // w, at % w, turn, np.packbits(points[:, :BITS] < points[:, BITS:], axis=1)
+
+
+def keypoints(image: np.ndarray, levels: int = 3) -> list[tuple[int, int, int, int, bytes]]:
+    """(x, y, scale, turn, descriptor) of each of the image's corners."""
+    return [(p["x"].item(), p["y"].item(), p["scale"].item(), p["turn"].item(), p["bits"].astype(">i8").tobytes()) for p in corners([image], levels)]
 
 
 def index(images: DataFrame, id_col: str, data_col: str, read=decode) -> DataFrame:
-    """(id, c, size, points): the class of each image's pixels, how many, and its keypoints."""
+    """(id, c, points): the class of each readable image's pixels, and its corners.
+
+    Of equal images that a task meets in one batch only the first carries corners.
+    """
     small_batches(images.sparkSession)
     kind = images.schema[id_col].dataType.simpleString()
+    point = ", ".join(["x: int", "y: int", "scale: int", "turn: int", *(f"{b}: bigint" for b in WORDS)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        def found(ids: list, images: list[np.ndarray]) -> pa.RecordBatch:
+            c = np.array([xxhash.xxh3_64_intdigest(repr(i.shape).encode() + i.tobytes()) for i in images], np.uint64).astype(np.int64)
+            first = set(np.unique(c, return_index=True)[1].tolist())
+            points = corners([image if i in first else image[:0] for i, image in enumerate(images)])
+            ends = np.searchsorted(points["image"], np.arange(len(images) + 1)).astype(np.int32)
+            fields = {k: pa.array(np.ascontiguousarray(points[k])) for k in ("x", "y", "scale", "turn")}
+            fields |= {b: pa.array(np.ascontiguousarray(points["bits"][:, i])) for i, b in enumerate(WORDS)}
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(c), lists], ["id", "c", "points"])
+
         for batch in batches:
-            rows, n = [], 0
-            for i, data in zip(batch["id"], batch["data"]):
-                image = read(data)
-                c = int(np.uint64(xxhash.xxh3_64_intdigest(repr(image.shape).encode() + image.tobytes())).astype(np.int64))
-                rows.append((i, c, image.size, [{"x": x, "y": y, "scale": s, "turn": t, "bits": b} for x, y, s, t, b in keypoints(image)]))
-                n += len(rows[-1][3])
-                if len(rows) >= 100 or n >= 20_000:
-                    yield pd.DataFrame(rows, columns=["id", "c", "size", "points"])
-                    rows, n = [], 0
-            if rows:
-                yield pd.DataFrame(rows, columns=["id", "c", "size", "points"])
-
-    point = "array<struct<x: double, y: double, scale: double, turn: int, bits: binary>>"
+            ids, images, size = [], [], 0
+            for i, data in enumerate(batch.column("data")):
+                image = read(data.as_py())
+                if image.size:
+                    ids.append(batch.column("id").slice(i, 1))
+                    images.append(image)
+                    size += image.size
+                if size > 1 << 23:
+                    yield found(ids, images)
+                    ids, images, size = [], [], 0
+            if images:
+                yield found(ids, images)
+
     empty = F.lit("").cast(images.schema[data_col].dataType)
     own = images.select(F.col(id_col).alias("id"), F.coalesce(F.col(data_col), empty).alias("data"))
-    return own.mapInPandas(run, f"id {kind}, c long, size long, points {point}")
+    return own.mapInArrow(run, f"id {kind}, c bigint, points array<struct<{point}>>")
 
 
 def find_copies(images: DataFrame, queries: DataFrame, *, id_col: str = "id", data_col: str = "data", votes: int = 8, cell: float = 24.0, read=decode) -> DataFrame:
@@ -217,20 +276,19 @@ def find_copies(images: DataFrame, queries: DataFrame, *, id_col: str = "id", da
     grey pixels of a cell of ``data_col``.
     """
     own = write_shared(index(images, id_col, data_col, read), "media")
-    classes = own.filter("size > 0").select("id", "c").distinct()
+    classes = own.select("id", "c").distinct()
     asked = classes.join(queries.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
-    # one row for each point of a class, however many images it has
-    points = own.filter("size > 0").select("c", F.explode("points").alias("p")).select("c", "p.*").distinct()
-    width = BITS // BANDS // 8
-    value = lambda b: F.conv(F.hex(F.substring("bits", b * width + 1, width)), 16, 10).cast("long")
+    width = BITS // BANDS
+    value = lambda b: F.shiftrightunsigned(WORDS[b * width // 64], 64 - width - b * width % 64).bitwiseAND(F.lit((1 << width) - 1))
     bands = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), value(b).alias("value")) for b in range(BANDS)]))
-    rows = points.withColumn("_b", bands).select("c", "x", "y", "scale", "turn", "bits", "_b.*")
+    # a class may bring its points once for each batch that holds it: equal votes are one in the end
+    points = own.select("c", F.explode("points").alias("p")).select("c", "p.*")
+    rows = points.withColumn("_b", bands).select(*points.columns, "_b.*")
     # the queries' bands stand for themselves and for every value that differs in one bit
-    flips = F.explode(F.array(*[F.lit(m).cast("long") for m in (0, *(1 << i for i in range(8 * width)))]))
-    few = points.join(asked.select("c").distinct(), "c", "left_semi").withColumn("_b", bands).withColumn("_m", flips)
-    few = few.select(*[F.col(k).alias(f"q{k}") for k in ("c", "x", "y", "scale", "turn", "bits")], F.col("_b.band").alias("band"), F.col("_b.value").bitwiseXOR(F.col("_m")).alias("value"))
-    word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
-    apart = sum((F.bit_count(word("bits", i).bitwiseXOR(word("qbits", i))) for i in range(BITS // 64)), F.lit(0))
+    flips = F.explode(F.array(*[F.lit(m).cast("long") for m in (0, *(1 << i for i in range(width)))]))
+    few = points.join(asked.select("c").distinct(), "c", "left_semi").distinct().withColumn("_b", bands).withColumn("_m", flips)
+    few = few.select(*[F.col(k).alias(f"q{k}") for k in points.columns], F.col("_b.band").alias("band"), F.col("_b.value").bitwiseXOR(F.col("_m")).alias("value"))
+    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"q{b}"))) for b in WORDS), F.lit(0))
     met = rows.join(few, ["band", "value"]).filter("c != qc").filter(apart <= NEAR)
     turned = F.pmod(F.col("turn") - F.col("qturn"), F.lit(TURNS))
     ratio = F.col("scale") / F.col("qscale")
