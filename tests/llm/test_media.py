@@ -146,3 +146,14 @@ def test_a_small_crop_of_a_very_tall_page(spark):
     images = spark.createDataFrame(rows, "id long, data binary").repartition(4)
     got = {(r["query"], r["id"]) for r in find_copies(images, images.filter("id != 99")).collect()}
     assert {(0, i) for i in crops} | {(i, 0) for i in crops} <= got and not any(99 in pair for pair in got)
+
+
+def test_pictures_of_a_sheet_give_what_each_gives_alone():
+    from quillspark.llm.media import corners
+
+    images = [picture(k, h, w) for k, (h, w) in enumerate([(160, 200), (40, 192), (2200, 192), (26, 26), (90, 192), (27, 200), (160, 200)])]
+    images = [*images[:4], np.zeros((0, 0), np.uint8), *images[4:]]
+    together = corners(images)
+    assert np.all(np.diff(together["image"]) >= 0)
+    for i, image in enumerate(images):
+        assert sorted(together[together["image"] == i][["x", "y", "scale", "turn"]].tolist()) == sorted(p[:4] for p in keypoints(image))
