@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.functions.cleanup import postprocess
 from quillspark.functions.grammar import accepted, program_blocks
+from quillspark.functions.operands import operand_tree
 from quillspark.functions.similarity import SLOTS, token_f1
 from quillspark.functions.slots import program_slots, spoken_slots
 from quillspark.operators import joins, prompting, retrieval
@@ -116,6 +117,25 @@ def program_block_counts(spark, d):
     return own.filter(~F.startswith("opcode", F.lit("event_when"))).groupBy("opcode").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""with c as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(cast(l_quantity as bigint) as varchar) as q, cast(l_partkey as varchar) as p, l_linenumber % 6 as m from lineitem)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, case m
+  when 0 then '-:-:operator_gt:-;0:OPERAND1:motion_xposition:-;0:OPERAND2:math_number:' || q
+  when 1 then '-:-:operator_not:-;0:OPERAND:sensing_touchingobject:-;1:TOUCHINGOBJECTMENU:sensing_touchingobjectmenu:_edge_'
+  when 2 then '-:-:operator_equals:-;0:OPERAND1:VARIABLE:Score;0:OPERAND2:operator_length:-;2:STRING:text:p' || p
+  when 3 then '-:-:operator_and:-;0:OPERAND1:operator_or:-;0:OPERAND2:-:-;1:OPERAND1:-:-;1:OPERAND2:-:-'
+  when 4 then '-:-:operator_contains:-;0:TEXT:text:answer;0:SUBSTRING:text:p' || p
+  else '-:-:operator_lt:-;0:OPERAND1:operator_multiply:-;0:OPERAND2:sensing_timer:-;1:NUM1:math_number:' || q || ' ;1:NUM2:math_number:2' end as tree
+from c""")
+def condition_operands(spark, d):
+    """Operand trees of conditions made from order lines."""
+    q, p = F.col("l_quantity").cast("bigint").cast("string"), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    made = [("(x position) > (", q, ")"), ("not touching (edge v)?",), ("(score) = (length of (", p, "))"), ("left or right and ", p), ("(answer) contains (", p, ")?"), ("(", q, " * 2) < (timer)")]
+    text = F.get(F.array(*[F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]) for parts in made]), F.col("l_linenumber") % 6)
+    tree = operand_tree(text, variables=F.array(F.lit("Score")))
+    shown = lambda n: F.concat_ws(":", *[F.coalesce(n[c].cast("string"), F.lit("-")) for c in ("parent", "input", "opcode", "value")])
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join(F.transform(tree, shown), ";").alias("tree"))
+
+
 def _side(name: str, cond: str) -> str:
     """A CTE with the slots of the program's lines (or of what is said of them) for which cond holds."""
     some = lambda value: f"list_sort(list_distinct(coalesce(list({value}) filter ({cond}), [])))"
