@@ -53,6 +53,28 @@ PHRASES = {
     "along_y": ["move up by", "moving up by", "move down by", "moving down by", "go up a little bit", "y position"],
 }
 
+# What stands before the backdrop that an instruction waits for.
+BACKDROP_CHANGES = ["when the backdrop changes to", "when the background changes to", "when we change the backdrop to", "when we change the background to", "backdrop changes to", "background changes to", "backdrop switches to"]
+
+# Patterns that name a key, in quotes or not.
+KEY = r'(?:the )?(?:"([^"]+)"|([a-z0-9_ ]+?)) key'
+KEY_PATTERNS = [rf"when {KEY} (?:is )?pressed", rf"press(?:ed|ing)? {KEY}", rf"hold(?:ing)? {KEY}", rf"let go of {KEY}"]
+
+# Patterns of an assignment, and of a change by an amount.
+ASSIGNMENTS = [
+    rf"\bset ({NAME}) to\b", rf"\bmake ({NAME}) zero\b", r"\bmake [^,.]+? zero\b", r"\bupdate [^,.]+ to\b",
+    r"\bset [^,.=]+? = [^,.]+? to\b", r"\bmake [^,.]+ equal to\b", r"\bmake [^,.]+ be\b",
+]
+GOING = r"\b(?:make|set) the [^,.]+ go (?:up|down|left|right) by\b"
+
+# Patterns whose first group names a variable.
+VARIABLE_PATTERNS = [
+    rf"\bset ({NAME}) to\b", rf"\bchange ({NAME}) by\b", r"\b(?:decrease|reduce|lower) ([^,.]+?) by\b", rf"\btake away [^,.]* from ([^,.]+?){END}",
+    r"\bupdate ([^,.]+?) to\b", rf"\bmake ({NAME}) zero\b", r"\bmake ([^,.]+?) zero\b", rf"\bsubtract [^,.]* from ({NAME}){END}",
+    r"\bset(?:ting)? the ([^,.]+?) to\b", r"\bset ([^,.=]+? = [^,.]+?) to\b", r"\bmake ([^,.]+?) equal to\b", r"\bmake ([^,.]+?) be\b",
+    r"\b(?:make|set) the ([^,.]+?) go (?:up|down|left|right) by\b", rf"\badd [^,.]* to ([^,.]+?){END}",
+]
+
 
 def granted(rules: dict[str, Column]) -> Column:
     """The names whose predicates hold."""
@@ -139,12 +161,9 @@ def _spoken_event(low: Column, trigger: Column) -> tuple[Column, Column, Column,
         .when(said(*PHRASES["press"]), "key_pressed")
         .when(said("sprite", "click"), "sprite_clicked")
     )
-    changed = ["when the backdrop changes to", "when the background changes to", "when we change the backdrop to", "when we change the background to", "backdrop changes to", "background changes to", "backdrop switches to"]
-    key = r'(?:the )?(?:"([^"]+)"|([a-z0-9_ ]+?)) key'
-    frames = [rf"when {key} (?:is )?pressed", rf"press(?:ed|ing)? {key}", rf"hold(?:ing)? {key}", rf"let go of {key}"]
-    pressed = F.coalesce(*[F.nullif(F.regexp_extract(trigger, p, g), F.lit("")) for p in frames for g in (1, 2)])
+    pressed = F.coalesce(*[F.nullif(F.regexp_extract(trigger, p, g), F.lit("")) for p in KEY_PATTERNS for g in (1, 2)])
     received = F.nullif(F.regexp_extract(low, r"receive ([a-z0-9_\- !?]+?)(?:,|\.| then| and|$)", 1), F.lit(""))
-    target = F.when(kind == "backdrop_switch", F.nullif(named_target(trigger, changed), F.lit(""))).when(kind == "receive", normalize_name(received)).when(kind == "key_pressed", normalize_name(pressed))
+    target = F.when(kind == "backdrop_switch", F.nullif(named_target(trigger, BACKDROP_CHANGES), F.lit(""))).when(kind == "receive", normalize_name(received)).when(kind == "key_pressed", normalize_name(pressed))
     return kind, target, kind == "backdrop_switch", kind == "receive"
 
 
@@ -171,9 +190,8 @@ def _spoken_slots(low: Column, costumes: Column, counts: Column, signed: Column)
     loops = granted({"forever": has(*PHRASES["forever"]), "repeat": (F.size(counts) > 0) | once | twice})
     counts = F.concat(counts, granted({"1": once, "2": twice}))
     held = F.when(has("until"), F.array(F.lit("repeat_until"))).when(has("as long as") | (has("keep ") & (F.size(counts) == 0)), F.array(F.lit("forever"))).otherwise(none())
-    assigned = _any(to, *[match(p) for p in (rf"\bset ({NAME}) to\b", rf"\bmake ({NAME}) zero\b", r"\bmake [^,.]+? zero\b", r"\bupdate [^,.]+ to\b", r"\bset [^,.=]+? = [^,.]+? to\b", r"\bmake [^,.]+ equal to\b", r"\bmake [^,.]+ be\b")])
-    going = r"\b(?:make|set) the [^,.]+ go (?:up|down|left|right) by\b"
-    changes = (match(rf"\bchange ({NAME}) by\b") | has(*PHRASES["change_variable"]) | match(going)) & ~has(*PHRASES["costume_or_backdrop"]) & ~to
+    assigned = _any(to, *[match(p) for p in ASSIGNMENTS])
+    changes = (match(rf"\bchange ({NAME}) by\b") | has(*PHRASES["change_variable"]) | match(GOING)) & ~has(*PHRASES["costume_or_backdrop"]) & ~to
     actions = granted({
         "show": (has(*PHRASES["show"]) | match(r"\bshow\b")) & (~sends | has("show up", "show yourself")),
         "hide": has(*PHRASES["hide"]),
@@ -198,14 +216,8 @@ def _spoken_slots(low: Column, costumes: Column, counts: Column, signed: Column)
         "broadcast": has(*PHRASES["broadcast"]),
         "ask": has("ask "),
     })
-    named = [
-        rf"\bset ({NAME}) to\b", rf"\bchange ({NAME}) by\b", r"\b(?:decrease|reduce|lower) ([^,.]+?) by\b", rf"\btake away [^,.]* from ([^,.]+?){END}",
-        r"\bupdate ([^,.]+?) to\b", rf"\bmake ({NAME}) zero\b", r"\bmake ([^,.]+?) zero\b", rf"\bsubtract [^,.]* from ({NAME}){END}",
-        r"\bset(?:ting)? the ([^,.]+?) to\b", r"\bset ([^,.=]+? = [^,.]+?) to\b", r"\bmake ([^,.]+?) equal to\b", r"\bmake ([^,.]+?) be\b",
-        r"\b(?:make|set) the ([^,.]+?) go (?:up|down|left|right) by\b", rf"\badd [^,.]* to ([^,.]+?){END}",
-    ]
     variables = F.concat(
-        _names(*[grab(p) for p in named], F.when(dressed, none()).otherwise(grab(r"\bchange ([^,.]+?) to\b"))),
+        _names(*[grab(p) for p in VARIABLE_PATTERNS], F.when(dressed, none()).otherwise(grab(r"\bchange ([^,.]+?) to\b"))),
         granted({"x": has(*PHRASES["along_x"]) | (steps & has("go left", "go right")), "y": has(*PHRASES["along_y"]) | (steps & has("go down", "go up"))}),
         granted({v: match(rf"\b(?:set|change|make)\s+{v}\b") | match(rf"\bfrom {v}{END}") for v in ("x", "y", "size", "volume")}),
     )
