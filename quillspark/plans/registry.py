@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions.cleanup import postprocess
-from quillspark.functions.grammar import accepted, program_blocks
+from quillspark.functions.grammar import accepted, opcode, program_blocks
 from quillspark.functions.operands import operand_tree
 from quillspark.functions.similarity import SLOTS, token_f1
 from quillspark.functions.slots import program_slots, spoken_slots
@@ -136,6 +136,34 @@ def condition_operands(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join(F.transform(tree, shown), ";").alias("tree"))
 
 
+# Lines of every kind that the grammar tells apart, "#" for a number, and what each one is.
+LINES = [
+    ("say [hi]", "looks_say"), ("say [hi] for (#) seconds", "looks_sayforsecs"), ("think [hm]", "looks_think"), ("think [hm] for (#) seconds", "looks_thinkforsecs"),
+    ("switch costume to [c#]", "looks_switchcostumeto"), ("change [score v] by (#)", "data_changevariableby"), ("set [score v] to [#]", "data_setvariableto"),
+    ("set [score v] to (#)", "data_setvariableto"), ("point in direction (#)", "motion_pointindirection"), ("set x to (#)", "motion_setx"), ("set y to (#)", "motion_sety"),
+    ("change x by (#)", "motion_changexby"), ("change y by (#)", "motion_changeyby"), ("go to (mouse-pointer v)", "motion_goto"), ("go to (random position v)", "motion_goto"),
+    ("go to x: (#) y: (-#)", "motion_gotoxy"), ("move (#) steps", "motion_movesteps"), ("glide (#) secs to (c v)", "motion_glideto"), ("glide (1) secs to x: (#) y: (#)", "motion_glidesecstoxy"),
+    ("turn left (#) degrees", "motion_turnleft"), ("turn right (#) degrees", "motion_turnright"), ("broadcast [m v]", "event_broadcast"), ("broadcast [m v] and wait", "event_broadcastandwait"),
+    ("create clone of [myself]", "control_create_clone_of"), ("delete this clone", "control_delete_this_clone"), ("stop [all v]", "control_stop"), ("stop [me v]", None),
+    ("wait (#) seconds", "control_wait"), ("wait until <(timer) > (#)>", "control_wait_until"), ("wait until <key (a v) press>", "rejected"), ("stop all sounds", "sound_stopallsounds"),
+    ("play sound (meow v)", "sound_play"), ("play sound (meow v) until done", None), ("hide", "looks_hide"), ("show", "looks_show"), ("ask [age] and wait", "sensing_askandwait"),
+    ("forever", "control_forever"), ("forever now", None), ("repeat (#)", "control_repeat"), ("repeat until <mouse down?>", "control_repeat_until"),
+    ("repeat until <(a) contains (b)>", "rejected"), ("if <touching (edge v)?> then", "control_if"), ("if on edge, bounce", "rejected"), ("if nothing", "rejected"), ("else", "else"), ("end", "end"),
+    ("when @greenFlag clicked", "event_whenflagclicked"), ("when flag clicked", "event_whenflagclicked"), ("when this sprite clicked", "event_whenthisspriteclicked"),
+    ("when backdrop switches to [b v]", "event_whenbackdropswitchesto"), ("when (a v) key pressed", "event_whenkeypressed"), ("when [loudness v] > (#)", "event_whengreaterthan"),
+    ("when I receive [m v]", "rejected"), ("when it rains", "rejected"), ("dance # times", None),
+]
+
+
+@query("""with k(i, opcode) as (values """ + ", ".join(f"({i}, {repr(code) if code else 'null'})" for i, (_, code) in enumerate(LINES)) + f""")
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, opcode from lineitem join k on l_partkey % {len(LINES)} = i""")
+def line_opcodes(spark, d):
+    """What a program's lines are: one of each kind, by order line."""
+    line = F.replace(F.get(F.array(*[F.lit(text) for text, _ in LINES]), (F.col("l_partkey") % len(LINES)).cast("int")), F.lit("#"), F.col("l_quantity").cast("bigint").cast("string"))
+    own = table(spark, d, "lineitem").withColumn("_line", line)
+    return own.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", opcode(F.col("_line")).alias("opcode"))
+
+
 def _side(name: str, cond: str) -> str:
     """A CTE with the slots of the program's lines (or of what is said of them) for which cond holds."""
     some = lambda value: f"list_sort(list_distinct(coalesce(list({value}) filter ({cond}), [])))"
