@@ -39,6 +39,28 @@ REPEAT_PATTERNS = [
 ]
 NUMBER = r"(-?\d+(?:\.\d+)?)"
 
+# Patterns of moves by an amount, and the sign of their direction.
+DIRECTIONS = [
+    (rf"(?:move|moving|go|glide)\s+back(?:ward)?s?\s+{NUMBER}\s+steps?", -1),
+    (rf"(?:move|moving|go|glide)\s+forward\s+{NUMBER}\s+steps?", 1),
+    (rf"(?:move|moving|go)\s+left\s+by\s+{NUMBER}", -1),
+    (rf"(?:move|moving|go)\s+left\s+{NUMBER}\s+steps?", -1),
+    (rf"(?:move|moving|go)\s+right\s+by\s+{NUMBER}", 1),
+    (rf"(?:move|moving|go)\s+right\s+{NUMBER}\s+steps?", 1),
+    (rf"(?:move|moving|go)\s+down\s+by\s+{NUMBER}", -1),
+    (rf"(?:move|moving|go)\s+down\s+{NUMBER}\s+steps?", -1),
+    (rf"(?:move|moving|go)\s+up\s+by\s+{NUMBER}", 1),
+    (rf"(?:move|moving|go)\s+up\s+{NUMBER}\s+steps?", 1),
+]
+
+# Patterns whose first group names a costume, or a sound.
+COSTUME_PATTERNS = [
+    r"(?:change the costume to|change (?:its |your |my )?costume to|change costume to)\s+([a-z0-9_\-]+)",
+    r"(?:switch (?:its |your |my )?costume to|switch costume to)\s+([a-z0-9_\-]+)",
+    r"(?:change it to|switch it to|change to|switch to)\s+([a-z0-9_\-]+)(?:\s+costume)?",
+]
+SOUND_PATTERNS = [r"play sound \(([^)]+?) v\)", r"play (?:the )?([a-z0-9_\-]+) sound", r"play the sound ([a-z0-9_\-]+)", r"play sound ([a-z0-9_\-]+)"]
+
 
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once: a lambda over an array of one binds it.
@@ -152,12 +174,8 @@ def repeat_counts(text: Column) -> Column:
 
 def directional_numbers(text: Column) -> Column:
     """Amounts of moves by direction: negative for back, left and down (text in lower case)."""
-    rules = [(rf"(?:move|moving|go|glide)\s+back(?:ward)?s?\s+{NUMBER}\s+steps?", -1), (rf"(?:move|moving|go|glide)\s+forward\s+{NUMBER}\s+steps?", 1)]
-    for way, sign in (("left", -1), ("right", 1), ("down", -1), ("up", 1)):
-        rules.append((rf"(?:move|moving|go)\s+{way}\s+by\s+{NUMBER}", sign))
-        rules.append((rf"(?:move|moving|go)\s+{way}\s+{NUMBER}\s+steps?", sign))
     signed = lambda sign: lambda x: normalize_number(sign * F.abs(x.cast("double")))
-    return F.array_distinct(F.concat(*[F.transform(all_groups(text, p), signed(s)) for p, s in rules]))
+    return F.array_distinct(F.concat(*[F.transform(all_groups(text, p), signed(s)) for p, s in DIRECTIONS]))
 
 
 def mask_identifiers(text: Column, names: Column) -> Column:
@@ -176,18 +194,12 @@ def named_target(text: Column, prefixes: list[str]) -> Column:
 
 
 def costume_targets(text: Column) -> Column:
-    patterns = [
-        r"(?:change the costume to|change (?:its |your |my )?costume to|change costume to)\s+([a-z0-9_\-]+)",
-        r"(?:switch (?:its |your |my )?costume to|switch costume to)\s+([a-z0-9_\-]+)",
-        r"(?:change it to|switch it to|change to|switch to)\s+([a-z0-9_\-]+)(?:\s+costume)?",
-    ]
-    names = F.transform(F.concat(*[all_groups(text, p) for p in patterns]), normalize_name)
+    names = F.transform(F.concat(*[all_groups(text, p) for p in COSTUME_PATTERNS]), normalize_name)
     return F.array_distinct(F.filter(names, lambda n: ~n.isin("", "the", "it")))
 
 
 def sound_targets(text: Column) -> Column:
-    patterns = [r"play sound \(([^)]+?) v\)", r"play (?:the )?([a-z0-9_\-]+) sound", r"play the sound ([a-z0-9_\-]+)", r"play sound ([a-z0-9_\-]+)"]
-    names = F.transform(F.concat(*[all_groups(text, p) for p in patterns]), normalize_name)
+    names = F.transform(F.concat(*[all_groups(text, p) for p in SOUND_PATTERNS]), normalize_name)
     return F.array_distinct(F.filter(names, lambda n: n != ""))
 
 

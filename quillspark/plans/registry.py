@@ -85,6 +85,30 @@ def directional_numbers(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(T.directional_numbers(said), ",").alias("found"))
 
 
+# Phrases with "#" for a number, and the repeats, signed amounts, costumes and sounds that they name.
+SAID = [
+    ("repeat # times", "#", "", "", ""), ("do this # times", "#", "", "", ""), ("do that # times", "#", "", "", ""), ("do this next thing # times", "#", "", "", ""),
+    ("do all this # times", "#", "", "", ""), ("do that whole thing # times", "#", "", "", ""), ("do this whole thing # times", "#", "", "", ""),
+    ("play the drum sound for # times", "#", "", "", "drum"), ("keep doing this # times", "#", "", "", ""), ("wait # times", "#", "", "", ""),
+    ("move backwards # steps", "", "-#", "", ""), ("glide forward # steps", "", "#", "", ""), ("move left by #", "", "-#", "", ""), ("go left # steps", "", "-#", "", ""),
+    ("moving right by #", "", "#", "", ""), ("move right # steps", "", "#", "", ""), ("go down by #", "", "-#", "", ""), ("move down -# steps", "", "-#", "", ""),
+    ("moving up by #", "", "#", "", ""), ("go up # step", "", "#", "", ""), ("switch costume to cat#", "", "", "cat#", ""), ("change to dog costume", "", "", "dog", ""),
+    ("change my costume to owl", "", "", "owl", ""), ("play sound (meow v)", "", "", "", "meow"), ("play sound pop", "", "", "", "pop"), ("say hello", "", "", "", ""),
+]
+
+
+@query("with k(i, repeats, signed, costumes, sounds) as (values " + ", ".join(str((i, *found)) for i, (_, *found) in enumerate(SAID)) + f""")
+select p_partkey, replace(repeats, '#', cast(p_size as varchar)) as repeats, replace(signed, '#', cast(p_size as varchar)) as signed,
+       replace(costumes, '#', cast(p_size as varchar)) as costumes, sounds
+from part join k on p_partkey % {len(SAID)} = i""")
+def spoken_phrases(spark, d):
+    """What phrases of every kind name, by part."""
+    said = F.replace(F.get(F.array(*[F.lit(text) for text, *_ in SAID]), (F.col("p_partkey") % len(SAID)).cast("int")), F.lit("#"), F.col("p_size").cast("string"))
+    own = table(spark, d, "part").select("p_partkey", said.alias("_said"))
+    readers = {"repeats": T.repeat_counts, "signed": T.directional_numbers, "costumes": T.costume_targets, "sounds": T.sound_targets}
+    return own.select("p_partkey", *[F.array_join(read(F.col("_said")), ",").alias(name) for name, read in readers.items()])
+
+
 PROGRAMS = """li as (
   select l_orderkey, l_partkey, cast(l_quantity as bigint) as q, l_returnflag || ',' || l_linestatus as f, 
          row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as n from lineitem),
