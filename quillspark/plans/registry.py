@@ -188,6 +188,27 @@ def line_opcodes(spark, d):
     return own.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", opcode(F.col("_line")).alias("opcode"))
 
 
+# Programs, lines between bars and "#" for a number, and whether each one is accepted: what is left open is, an end or else without its block isn't.
+SHAPES = [
+    ("when flag clicked|forever|move (#) steps|end", True), ("when flag clicked|forever|move (#) steps", True), ("when flag clicked", True), ("", False),
+    ("when flag clicked|if <touching (edge v)?> then|hide|else|show|end", True), ("when flag clicked|if <touching (edge v)?> then|hide|else|show|end|end", True),
+    ("when flag clicked|if <touching (edge v)?> then|hide|else|show|end|end|end", False), ("when flag clicked|if <mouse down?> then|else|else", False),
+    ("when flag clicked|forever|else", False), ("when flag clicked|else", False), ("move (#) steps|when flag clicked", False), ("forever|when flag clicked", False),
+    ("when flag clicked|repeat until <mouse down?>|hide|end|end", False), ("when flag clicked|hide|| |when (a v) key pressed|show", True), ("when flag clicked|if on edge, bounce", False),
+    ("when flag clicked|dance (#) steps", False), ("when flag clicked|repeat (#)|if <(1) = (#)> then|wait until <(timer) > (#)>|end|end", True), ("end|when flag clicked", False),
+    ("when this sprite clicked|repeat (#)|repeat until <not touching (edge v)?>|say [#]|end|end", True), ("when I receive [m v]|hide", False), (" when flag clicked | hide ", True),
+]
+
+
+@query("with k(i, parse_ok) as (values " + ", ".join(f"({i}, {ok})".lower() for i, (_, ok) in enumerate(SHAPES)) + f""")
+select o_orderkey, parse_ok from orders join k on o_orderkey % {len(SHAPES)} = i""")
+def program_shapes(spark, d):
+    """Is a program accepted?  One of each way to nest blocks, by order."""
+    code = F.get(F.array(*[F.lit(text.replace("|", "\n")) for text, _ in SHAPES]), (F.col("o_orderkey") % len(SHAPES)).cast("int"))
+    own = table(spark, d, "orders").select("o_orderkey", F.replace(code, F.lit("#"), F.col("o_custkey").cast("string")).alias("code"))
+    return accepted(own, "code").select("o_orderkey", "parse_ok")
+
+
 def _side(name: str, cond: str) -> str:
     """A CTE with the slots of the program's lines (or of what is said of them) for which cond holds."""
     some = lambda value: f"list_sort(list_distinct(coalesce(list({value}) filter ({cond}), [])))"
