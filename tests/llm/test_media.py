@@ -157,3 +157,46 @@ def test_pictures_of_a_sheet_give_what_each_gives_alone():
     assert np.all(np.diff(together["image"]) >= 0)
     for i, image in enumerate(images):
         assert sorted(together[together["image"] == i][["x", "y", "scale", "turn"]].tolist()) == sorted(p[:4] for p in keypoints(image))
+
+
+def test_what_is_written_follows_the_queries(spark, tmp_path):
+    from pathlib import Path
+
+    from quillspark.llm import media
+    from quillspark.llm.common import shared_dir
+
+    written = lambda: sum(p.stat().st_size for p in Path(shared_dir(spark).removeprefix("file://")).rglob("*") if p.is_file())
+    images = {i: pgm(picture(i)) for i in range(60)} | {100: pgm(picture(0)[16:, 24:])}
+    frame, before = spark.createDataFrame([(i, bytes(d)) for i, d in images.items()], "id long, data binary").repartition(4), written()
+    assert [(r["query"], r["id"]) for r in find_copies(frame, frame.filter("id = 0")).collect()] == [(0, 100)]
+    points = media.corners([decode(d) for d in images.values()])
+    assert written() - before < 8 * len(points)
+    media._write_block(points, f"{tmp_path}/block")
+    assert Path(tmp_path, "block").stat().st_size < 700 * len(points)
+
+
+def test_blocks_and_parts_give_what_brute_force_gives(monkeypatch, tmp_path):
+    from quillspark.llm import media
+
+    images = dict(sorted(altered().items()))
+    points = media.corners([decode(d) for d in images.values()])
+    c = 1 - np.array(list(images)) * 10**15
+    asked = points[points["image"] < 12]
+    asked["image"] = c[asked["image"]]
+    media._write_block(asked, f"{tmp_path}/all")
+    bits, block = media._hash(media._bands(np.ascontiguousarray(points["bits"]))), media._read_block(f"{tmp_path}/all")
+    got = {pair for p, q in media._pairs(points, c, block, media._candidates(bits, block)) for pair in zip(p.tolist(), q.tolist())}
+    spread = [np.unpackbits(np.ascontiguousarray(x["bits"]).view(np.uint8), axis=1).astype(np.float32) for x in (points, asked)]
+    apart = spread[0] @ (1 - spread[1]).T + (1 - spread[0]) @ spread[1].T
+    want = (apart <= media.NEAR) & (c[points["image"]][:, None] != asked["image"])
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(want)))) and len(got) > 10000
+
+    whole = media._hits(points, c, [f"{tmp_path}/all"], 8, 24.0)
+    half = asked["image"] > c[6]
+    for name, part in (("a", asked[half]), ("b", asked[~half])):
+        media._write_block(part, f"{tmp_path}/{name}")
+    monkeypatch.setattr(media, "PAIRS", 500)
+    for paths in (["all"], ["a", "b"]):
+        hits = media._hits(points, c, [f"{tmp_path}/{name}" for name in paths], 8, 24.0)
+        assert sorted(hits.tolist()) == sorted(whole.tolist()) and len(whole) >= 0.9 * 60
+    assert not len(media._hits(points[:0], c, [f"{tmp_path}/all"], 8, 24.0)) and not len(media._hits(points, c, [], 8, 24.0))
