@@ -6,11 +6,14 @@ be; classes such as [a-z0-9] stay ASCII.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The characters of SPACE.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: White space as str.strip() and \s of Python understand it, for Java patterns.
 SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Line ends as str.splitlines() sees them.
@@ -77,7 +80,7 @@ def none() -> Column:
 
 def strip(c: Column) -> Column:
     """Trim Unicode white space, as str.strip()."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
@@ -97,15 +100,57 @@ def words_of(c: Column) -> Column:
 
 def has_any(text: Column, phrases: list[str]) -> Column:
     """Is any phrase a substring?"""
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in phrases])
-
-
-def all_groups(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    # a phrase that holds another one of them tells nothing more
+    needed = [p for p in phrases if not any(q in p for q in phrases if q != p)]
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in needed])
+
+
+def required(pattern: str) -> list[str]:
+    """Texts that every match of a pattern holds: its literal runs of two characters or more outside of groups."""
+    runs, depth = [""], 0
+    if "(?i" in pattern:
+        return []
+    for atom in re.findall(r"\\.|\[(?:\\.|[^\]\\])*\]|[?*+]|\{[^}]*\}|.", pattern):
+        if atom in "()":
+            depth += 1 if atom == "(" else -1
+            runs.append("")
+        elif depth:
+            continue
+        elif atom == "|":
+            return []
+        elif atom in "?*+" or (atom[0] == "{" and len(atom) > 1):
+            runs[-1:] = [runs[-1][:-1], ""]
+        elif len(atom) == 1 and atom not in ".^$":
+            runs[-1] += atom
+        elif atom[0] == "\\" and not atom[1].isalnum():
+            runs[-1] += atom[1]
+        else:
+            runs.append("")
+    return sorted({r for r in runs if len(r) > 1}, key=lambda r: (-len(r), r))
+
+
+def matches(text: Column, pattern: str, flags: str = "") -> Column:
+    """Does the pattern match anywhere?  It is tried only on texts that hold what every match holds."""
+    return reduce(lambda a, b: a & b, [*[F.contains(text, F.lit(r)) for r in required(pattern)], text.rlike(flags + pattern)])
+
+
+def all_groups(text: Column, pattern: str, group: int = 1, flags: str = "") -> Column:
+    """A group of every match; the pattern is tried only on texts that hold what every match holds."""
+    found = F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(group))
+    lacking = [~F.contains(text, F.lit(r)) for r in required(pattern)]
+    return F.when(reduce(lambda a, b: a | b, lacking), none()).otherwise(found) if lacking else found
+
+
+def first_group(text: Column, pattern: str, group: int = 1) -> Column:
+    """A group of the first match, empty if there is none; tried as all_groups()."""
+    found = F.regexp_extract(text, pattern, group)
+    lacking = [~F.contains(text, F.lit(r)) for r in required(pattern)]
+    return F.when(reduce(lambda a, b: a | b, lacking), "").otherwise(found) if lacking else found
 
 
 def sorted_set(c: Column) -> Column:
-    return F.array_sort(F.array_distinct(c))
+    """Without duplicates and in order (of values that aren't null)."""
+    return F.sort_array(F.array_distinct(c))
 
 
 def normalize_name(c: Column) -> Column:
@@ -137,19 +182,26 @@ def digit_numbers(text: Column) -> Column:
     return F.array_distinct(F.transform(all_groups(text, NUMBER), normalize_number))
 
 
+WORD_VALUES = {**{x: i for i, x in enumerate(UNITS)}, **{x: 10 * i + 20 for i, x in enumerate(TENS)}, "a": 1}
+
+
 def _word_value(w: Column) -> Column:
-    values = [*((x, i) for i, x in enumerate(UNITS)), *((x, 10 * i + 20) for i, x in enumerate(TENS)), ("a", 1)]
-    table = F.create_map(*[F.lit(x) for pair in values for x in pair])
-    return F.try_element_at(table, w)
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in WORD_VALUES.items() for x in pair]), w)
 
 
 def number_words(text: Column) -> Column:
     """Numbers that runs of number words state ("a" adds one), canonical, as a set."""
-    words = F.concat(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), F.array(F.lit("")))
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+    # no run begins without one of these words
+    begins = F.array(*map(F.lit, [*WORD_VALUES, "hundred"]))
+    return let(words, lambda own: F.when(~F.arrays_overlap(own, begins), none()).otherwise(_runs(own)))
+
+
+def _runs(words: Column) -> Column:
     zero = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("now"), F.lit(False).alias("on"), none().alias("out"))
 
-    def step(s: Column, w: Column) -> Column:
-        value = _word_value(w)
+    def step(s: Column, own: Column) -> Column:
+        w, value = own["w"], own["value"]
         scaled = F.greatest(F.lit(1), s["now"])
         hundred, thousand = w == "hundred", (w == "thousand") & s["on"]
         goes_on = value.isNotNull() | hundred | thousand
@@ -159,11 +211,14 @@ def number_words(text: Column) -> Column:
         out = F.when(~goes_on & s["on"] & (done > 0), F.concat(s["out"], F.array(done.cast("string")))).otherwise(s["out"])
         return F.struct(total.cast("bigint").alias("total"), now.cast("bigint").alias("now"), goes_on.alias("on"), out.alias("out"))
 
-    return F.array_distinct(F.aggregate(words, zero, step, lambda s: s["out"]))
+    valued = F.transform(F.concat(words, F.array(F.lit(""))), lambda w: F.struct(w.alias("w"), _word_value(w).alias("value")))
+    # between runs nothing changes
+    idle = lambda s, own: ~s["on"] & own["value"].isNull() & (own["w"] != "hundred")
+    return F.array_distinct(F.aggregate(valued, zero, lambda s, own: F.when(idle(s, own), s).otherwise(step(s, own)), lambda s: s["out"]))
 
 
 def numbers(text: Column) -> Column:
-    return F.array_union(digit_numbers(text), number_words(text))
+    return let(text, lambda own: F.array_union(digit_numbers(own), number_words(own)))
 
 
 def repeat_counts(text: Column) -> Column:
@@ -188,13 +243,14 @@ def mask_identifiers(text: Column, names: Column) -> Column:
 def named_target(text: Column, prefixes: list[str]) -> Column:
     """Name after the first of the prefixes that has one; null if none."""
     def one(prefix: str) -> Column:
-        found = F.regexp_extract(text, rf"{prefix}\s+([^,.]+?)(?:,|\.| and\b| then\b|$)", 1)
-        return F.when(found != "", normalize_name(found))
+        found = first_group(text, rf"{prefix}\s+([^,.]+?)(?:,|\.| and\b| then\b|$)")
+        return let(found, lambda name: F.when(name != "", normalize_name(name)))
     return F.coalesce(*[one(p) for p in prefixes])
 
 
 def costume_targets(text: Column) -> Column:
-    names = F.transform(F.concat(*[all_groups(text, p) for p in COSTUME_PATTERNS]), normalize_name)
+    said = F.when(~F.contains(text, F.lit(" to")), none()).otherwise(F.concat(*[all_groups(text, p) for p in COSTUME_PATTERNS]))  # all of them hold " to"
+    names = F.transform(said, normalize_name)
     return F.array_distinct(F.filter(names, lambda n: ~n.isin("", "the", "it")))
 
 
@@ -209,7 +265,10 @@ NO_VARIABLE_WORDS = ["switch", "glide", "wait", "show", "hide", "move", "turn",
 
 
 def is_variable_name(c: Column) -> Column:
-    name = normalize_name(c)
+    return let(normalize_name(c), _names_variable)
+
+
+def _names_variable(name: Column) -> Column:
     banned = reduce(lambda a, b: a | b, [F.startswith(name, F.lit(p)) for p in NO_VARIABLE_PREFIXES])
     return (name != "") & ~banned & ~F.arrays_overlap(F.split(name, " "), F.array(*map(F.lit, NO_VARIABLE_WORDS)))
 
