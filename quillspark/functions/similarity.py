@@ -14,8 +14,7 @@ GUIDED = SLOTS[7:]
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union)
+    return let(F.size(F.array_union(a, b)), lambda union: F.when(union > 0, F.size(F.array_intersect(a, b)) / union))
 
 
 def scalar_similarity(a: Column, b: Column) -> Column:
@@ -25,26 +24,32 @@ def scalar_similarity(a: Column, b: Column) -> Column:
 
 def guided_similarity(program: Column, spoken: Column, text: Column) -> Column:
     """Share of the program's names that the instruction names or mentions; names only spoken score 0."""
-    mentioned = normalize_name(text)
-    hit = F.filter(program, lambda n: F.array_contains(spoken, normalize_name(n)) | F.contains(mentioned, normalize_name(n)))
+    return let(normalize_name(text), lambda mentioned: _guided(program, spoken, mentioned))
+
+
+def _guided(program: Column, spoken: Column, mentioned: Column) -> Column:
+    hit = F.filter(program, lambda n: let(normalize_name(n), lambda name: F.array_contains(spoken, name) | F.contains(mentioned, name)))
     return F.when(F.size(program) > 0, F.size(hit) / F.size(program)).when(F.size(spoken) > 0, F.lit(0.0))
 
 
 def slot_scores(program: Column, spoken: Column, text: Column) -> Column:
     """Struct of the 11 slots' scores of a program against an instruction."""
-    def one(slot: str) -> Column:
+    def one(slot: str, x: Column) -> Column:
+        p, s = x["p"][slot], x["s"][slot]
         if slot in SCALARS:
-            return scalar_similarity(program[slot], spoken[slot])
+            return scalar_similarity(p, s)
         if slot in GUIDED:
-            return guided_similarity(program[slot], spoken[slot], text)
-        return jaccard(program[slot], spoken[slot])
-    return F.struct(*[one(s).alias(s) for s in SLOTS])
+            return _guided(p, s, x["mentioned"])
+        return jaccard(p, s)
+    read = F.struct(program.alias("p"), spoken.alias("s"), normalize_name(text).alias("mentioned"))
+    return let(read, lambda x: F.struct(*[one(s, x).alias(s) for s in SLOTS]))
 
 
 def program_scores(a: Column, b: Column) -> Column:
     """Struct of 9 slots' scores of two programs: plain similarities, without loops."""
     pick = [s for s in SLOTS if not s.startswith("loop_")]
-    return F.struct(*[(scalar_similarity if s in SCALARS else jaccard)(a[s], b[s]).alias(s) for s in pick])
+    read = F.struct(a.alias("a"), b.alias("b"))
+    return let(read, lambda x: F.struct(*[(scalar_similarity if s in SCALARS else jaccard)(x["a"][s], x["b"][s]).alias(s) for s in pick]))
 
 
 def compared(scores: Column, slots: list[str] = SLOTS) -> Column:

@@ -48,19 +48,35 @@ def worst(aligned: DataFrame, k: int = 250, key: str = "key") -> DataFrame:
     return aligned.orderBy("alignment_score", key).limit(k)
 
 
+def _spoken_score(program: Column, spoken: Column, nl: Column) -> Column:
+    return let(slot_scores(program, spoken, nl), lambda scores: mean_score(scores, 0.0))
+
+
+def _program_score(a: Column, b: Column) -> Column:
+    return let(program_scores(a, b), lambda scores: mean_score(scores, 0.0, NO_LOOPS))
+
+
 def spoken_alignment(pred: Column, nl: Column) -> Column:
     """Alignment of a predicted text with an instruction; 0 if blank or if nothing can be compared."""
-    read = lambda lines: F.struct(program_slots(lines).alias("p"), spoken_slots(nl).alias("s"))
-    score = lambda x: mean_score(slot_scores(x["p"], x["s"], nl), 0.0)
-    return let(lines_of(F.coalesce(pred, F.lit(""))), lambda lines: F.when(F.size(lines) > 0, let(read(lines), score)).otherwise(0.0))
+    score = lambda lines: _spoken_score(program_slots(lines), spoken_slots(nl), nl)
+    return let(lines_of(F.coalesce(pred, F.lit(""))), lambda lines: F.when(F.size(lines) > 0, score(lines)).otherwise(0.0))
 
 
 def program_alignment(pred: Column, gold: Column) -> Column:
     """Alignment of two programs' texts on 9 slots; 0 if either is blank."""
     texts = F.struct(lines_of(F.coalesce(pred, F.lit(""))).alias("a"), lines_of(F.coalesce(gold, F.lit(""))).alias("b"))
-    read = lambda x: F.struct(program_slots(x["a"]).alias("a"), program_slots(x["b"]).alias("b"))
-    score = lambda x: mean_score(program_scores(x["a"], x["b"]), 0.0, NO_LOOPS)
-    return let(texts, lambda x: F.when((F.size(x["a"]) > 0) & (F.size(x["b"]) > 0), let(read(x), score)).otherwise(0.0))
+    score = lambda x: _program_score(program_slots(x["a"]), program_slots(x["b"]))
+    return let(texts, lambda x: F.when((F.size(x["a"]) > 0) & (F.size(x["b"]) > 0), score(x)).otherwise(0.0))
+
+
+def alignments(pred: Column, gold: Column, nl: Column) -> Column:
+    """Struct of spoken_alignment() and program_alignment() as sac_nl and sac_pseudo; the prediction's slots are read once."""
+    slots = lambda lines: F.when(F.size(lines) > 0, program_slots(lines))
+    read = F.struct(slots(lines_of(F.coalesce(pred, F.lit("")))).alias("p"), slots(lines_of(F.coalesce(gold, F.lit("")))).alias("g"))
+    return let(read, lambda x: F.struct(
+        F.when(x["p"].isNotNull(), _spoken_score(x["p"], spoken_slots(nl), nl)).otherwise(0.0).alias("sac_nl"),
+        F.when(x["p"].isNotNull() & x["g"].isNotNull(), _program_score(x["p"], x["g"])).otherwise(0.0).alias("sac_pseudo"),
+    ))
 
 
 def compare(df: DataFrame, pred: str = "prediction", gold: str = "gold", nl: str | None = "nl", clean: bool = False, parser: bool = True) -> DataFrame:
@@ -76,8 +92,8 @@ def compare(df: DataFrame, pred: str = "prediction", gold: str = "gold", nl: str
     if parser:
         df = accepted(df, "_p")
     if nl:
-        df = df.withColumns({"sac_nl": spoken_alignment(F.col("_pred"), F.col(nl)), "sac_pseudo": program_alignment(F.col("_pred"), F.col("_gold"))})
-    return df.drop("_pred", "_gold", "_p", "_g")
+        df = df.withColumn("_sac", alignments(F.col("_pred"), F.col("_gold"), F.col(nl))).withColumns({s: F.col("_sac")[s] for s in ("sac_nl", "sac_pseudo")})
+    return df.drop("_pred", "_gold", "_p", "_g", "_sac")
 
 
 def evaluate(compared_rows: DataFrame, by: list[str] | None = None) -> DataFrame:
