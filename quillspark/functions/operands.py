@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.grammar import opcode, program_lines
-from quillspark.functions.text import let, strip
+from quillspark.functions.text import has_any, let, matches, strip
 
 # Conditions (opcode, pattern, inputs as (name, group or text, kind)), the first match wins.
 CONDITIONS = [
@@ -97,30 +97,28 @@ def _expand(node: Column, k: Column, variables: Column) -> Column:
 
     condition = both(_look(None), nothing)
     for code, pattern, inputs in reversed(CONDITIONS):
-        condition = F.when(text.rlike(pattern), both(_look(code), _grown(k, text, pattern, inputs))).otherwise(condition)
+        condition = F.when(matches(text, pattern), both(_look(code), _grown(k, text, pattern, inputs))).otherwise(condition)
 
     reporter = F.create_map(*[F.lit(x) for pair in REPORTERS.items() for x in pair])
-    plain = F.try_element_at(reporter, text)
-    expression = both(F.when(plain.isNotNull(), _look(plain)).otherwise(_look("text", "TEXT", text)), nothing)
+    expression = let(F.try_element_at(reporter, text), lambda plain: both(F.when(plain.isNotNull(), _look(plain)).otherwise(_look("text", "TEXT", text)), nothing))
     for code, pattern, inputs in reversed(FUNCTIONS):
         look = _look(code, "OPERATOR", F.regexp_extract(text, r"^(\S+)", 1)) if code == "operator_mathop" else _look(code)
-        expression = F.when(text.rlike(pattern), both(look, _grown(k, text, pattern, inputs))).otherwise(expression)
+        expression = F.when(matches(text, pattern), both(look, _grown(k, text, pattern, inputs))).otherwise(expression)
     sign = F.try_element_at(F.create_map(*[F.lit(x) for pair in SIGNS.items() for x in pair]), F.regexp_extract(text, ARITHMETIC, 2))
     terms = [("NUM1", 1, "math_number"), ("NUM2", 3, "math_number")]
-    expression = F.when(text.rlike(ARITHMETIC), both(_look(sign), _grown(k, text, ARITHMETIC, terms))).otherwise(expression)
+    expression = F.when(has_any(text, list(SIGNS)) & text.rlike(ARITHMETIC), both(_look(sign), _grown(k, text, ARITHMETIC, terms))).otherwise(expression)
 
     touched = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in TOUCHED.items() for x in pair]), strip(F.lower(text))), text)
-    leaf = F.lit(None).cast(_LOOK)
-    for name, (code, field) in LEAVES.items():
-        value = F.lit("_random_") if field == "TO" else touched if name == "touching_object_menu" else text
-        fits = kind == name
-        if name == "math_number":
-            fits |= (kind == "compared") & strip(text).rlike(r"^-?\d+(\.\d+)?$")
-        leaf = F.when(fits, _look(code, field, value)).otherwise(leaf)
-
-    same = F.get(F.filter(variables, lambda v: F.lower(v) == F.lower(text)), F.lit(0))
-    is_variable = (kind != "condition") & ~kind.isin(NO_VARIABLE) & same.isNotNull()
-    return let(leaf, lambda known: F.when(is_variable, both(_look("VARIABLE", None, same), nothing)).when(kind == "condition", condition).when(known["opcode"].isNotNull(), both(known, nothing)).otherwise(expression))
+    # a number is a leaf where numbers are compared
+    leaf_kind = F.when((kind == "compared") & strip(text).rlike(r"^-?\d+(\.\d+)?$"), "math_number").otherwise(kind)
+    leaves = F.create_map(*[x for name, (code, field) in LEAVES.items() for x in (F.lit(name), F.struct(F.lit(code).alias("code"), F.lit(field).alias("field")))])
+    value = lambda field: F.when(field == "TO", F.lit("_random_")).when(kind == "touching_object_menu", touched).otherwise(text)
+    leaf = let(F.try_element_at(leaves, leaf_kind), lambda made: F.when(made.isNotNull(), _look(made["code"], made["field"], value(made["field"]))))
+
+    same = F.when(~kind.isin(NO_VARIABLE), F.get(F.filter(variables, lambda v: F.lower(v) == F.lower(text)), F.lit(0)))
+    looked = lambda known: F.when(known.isNotNull(), both(known, nothing)).otherwise(expression)
+    operand = let(same, lambda name: F.when(name.isNotNull(), both(_look("VARIABLE", None, name), nothing)).otherwise(let(leaf, looked)))
+    return F.when(kind == "condition", condition).otherwise(operand)
 
 
 def operand_tree(text: Column, kind: str = "condition", variables: Column | None = None) -> Column:

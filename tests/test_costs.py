@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import slots, text
+from quillspark.functions.operands import operand_tree
 from quillspark.operators import report, retrieval
 
 
@@ -72,3 +73,8 @@ def test_retrieval_places_documents_once(spark, monkeypatch, terms, tokens):
         order = sorted(scored, reverse=True) if v else sorted(scored, key=lambda x: x[1])
         want += [(q, r + 1, i, round(s, 9)) for r, (s, i) in enumerate(order[:4])]
     assert sorted((r["query"], r["rank"], r["doc"], round(r["score"], 9)) for r in top.collect()) == want
+
+
+def test_operands_look_for_a_variable_once(spark):
+    df = spark.createDataFrame([], "x string").select(operand_tree(F.col("x"), "any", F.array(F.lit("Score"))))
+    assert df._jdf.queryExecution().analyzed().toString().count("filter(") <= 2
